@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import quality, urls
+from . import bpe, dac, decontam, langid, quality, sharding, simhash, urls
 
 QUERIES = {
     "op3_url_filter": urls.op3_url_filter,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_decontaminate": decontam.op5_decontaminate,
     "op6_quality": quality.op6_quality,
+    "op7_token_ids": dac.op7_token_ids,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_language": langid.op9_language,
+    "op10_shard": sharding.op10_shard,
 }
 
 ORACLE_SQL = {
+    "op5_decontaminate": decontam.OP5_SQL,
     "op6_quality": quality.OP6_SQL,
 }

@@ -116,6 +116,8 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     cols = docs.columns
     judged = base_metrics(docs.select(F.col(host).alias("_source"), "text"), ["_source"]).select("_source", "base_failed")
     passed = base_metrics(docs.select(F.struct(*cols).alias("_row"), F.col(host).alias("_source"), "text"), ["_row", "_source"])
+    # A filter pushed below the measures would build the words anew for every window; it doesn't pass a generator.
+    passed = passed.select("_row", "_source", F.explode_outer(F.array("base_failed")).alias("base_failed"))
     out = _with_hosts(passed.where(~F.col("base_failed")), judged, "_source").where(F.col("_host_failed").isNull())
     return out.select("_row.*")
 
