@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, dac, decontam, langid, quality, sharding, simhash, substring, urls
+from . import bpe, dac, decontam, langid, quality, sharding, simhash, substring, suffix, urls
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
+    "op2_suffix": suffix.op2_suffix,
     "op3_url_filter": urls.op3_url_filter,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontaminate": decontam.op5_decontaminate,

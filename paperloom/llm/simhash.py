@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component, columns unchanged.  Rows of a null doc_id stay."""
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
     stay = docs.where(F.col("doc_id").isNull())
     return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").unionByName(stay)
 
