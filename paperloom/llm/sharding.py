@@ -49,21 +49,25 @@ def propagate(linked: DataFrame, n_rows: int, shards: int, rounds: int) -> tuple
     for n, group in large:
         take = min(-(-n // cap), len(free))
         given[group], free = (free[:take], free[take:]) if take else ([shards - 1], free)
+    given_to = [0] * shards
+    for n, group in large:
+        for to in given[group]:
+            given_to[to] += n // len(given[group])
+    small = ~F.col("group").isin(list(given)) if given else F.lit(True)
     for turn in range(rounds):
-        cells = now.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = cells.groupBy("group").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("x")).select("group", (-F.col("x.s")).alias("target"))
-        asked = cells.join(best, "group").where(~F.col("group").isin(list(given)) if given else F.lit(True))
-        held, wanted = [0] * shards, [0] * shards
-        for group, to in given.items():
-            n = next(n for n, g in large if g == group)
-            for s in to:
-                held[s] += n // len(to)
-        moves = asked.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()  # shards x shards at most
-        for r in moves:
-            if r["shard"] == r["target"]:
-                held[r["shard"]] += r["n"]
-            else:
-                wanted[r["target"]] += r["n"]
+        cells = now.where(small).groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
+        held = list(given_to)
+        for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect():
+            held[r["shard"]] += r["n"]
+        # Shards with room first, then most of the group; a hash breaks ties, or low shards would be asked most.
+        has_room = F.get(F.lit([int(h < cap) for h in held]), F.col("shard"))
+        rank = F.struct(has_room.alias("r"), "n", F.xxhash64("group", "shard").alias("h"), "shard")
+        best = cells.groupBy("group").agg(F.max(rank).alias("x")).select("group", F.col("x.shard").alias("target"))
+        wanted = [0] * shards
+        moves = cells.join(best, "group").where("shard <> target").groupBy("shard", "target").agg(F.sum("n").alias("n"))
+        for r in moves.collect():  # shards x shards at most
+            wanted[r["target"]] += r["n"]
+            held[r["shard"]] -= r["n"]
         room = [min(1.0, max(0, cap - h) / w) if w else 1.0 for h, w in zip(held, wanted)]
         rows = now.join(best, "group", "left")
         goes = _unit("group", "shard", F.lit(turn)) < F.get(F.lit([float(x) for x in room]), F.col("target"))
@@ -132,7 +136,9 @@ def _filled(ranked: DataFrame, counts: list, n_rows: int, shards: int) -> DataFr
     filled = F.size(F.filter(F.lit([int(e) for e in ends]), lambda e: e <= F.col("_over")))
     to = _pick([s for s, _ in short], filled)
     slot = _pick([in_shard[s] - (e - n) for (s, n), e in zip(short, ends)], filled) + F.col("_over")
-    return rows.select("doc_id", "size", "text_crc32", F.coalesce(to, F.col("shard")).cast("int").alias("shard"), F.when(F.col("_over").isNull(), F.col("slot")).otherwise(slot).cast("long").alias("slot"))
+    stays = F.col("_over").isNull()
+    shard, slot = F.when(stays, F.col("shard")).otherwise(to), F.when(stays, F.col("slot")).otherwise(slot)
+    return rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

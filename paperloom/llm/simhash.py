@@ -114,7 +114,8 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     pairs = pairs.where(near).select(F.col("b").alias("u"), F.col("a").alias("v"))
     crowd = probes.join(hot, ["r", "key"], "left_semi").select(F.col("a").alias("fp")).distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(64)])
-    balls, _ = staged(crowd.select("fp", F.col("fp").bitwiseXOR(F.explode(flips)).alias("point")), "balls")
+    points = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    balls, _ = staged(points, "balls")
     least = balls.groupBy("point").agg(F.min("fp").alias("v"))
     stars = balls.join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v")
     return pairs.union(stars).distinct()
