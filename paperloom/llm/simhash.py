@@ -100,7 +100,8 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     """Edges ``u, v`` that connect the distinct ``fp`` within LIMIT bits of each other."""
-    index, probes = _keys(fps, "b", probing=False), _keys(fps, "a", probing=True)
+    # Spark judges an exploded side by the size of what it comes from; these joins must not become broadcasts.
+    index, probes = _keys(fps, "b", probing=False).hint("merge"), _keys(fps, "a", probing=True)
     hot = index.groupBy("r", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("r", "key")
     hot, _ = staged(hot, "dense_keys")
     n_hot = hot.count()
@@ -110,13 +111,13 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
         return pairs.where(near).select(F.col("b").alias("u"), F.col("a").alias("v")).distinct()
     hot = _bounded(hot, n_hot)
     cool = index.join(hot, ["r", "key"], "left_anti")
-    pairs = probes.join(cool, ["r", "key"]).where(F.col("a") < F.col("b"))
+    pairs = probes.join(cool.hint("merge"), ["r", "key"]).where(F.col("a") < F.col("b"))
     pairs = pairs.where(near).select(F.col("b").alias("u"), F.col("a").alias("v"))
     crowd = probes.join(hot, ["r", "key"], "left_semi").select(F.col("a").alias("fp")).distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(64)])
     points = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     balls, _ = staged(points, "balls")
-    least = balls.groupBy("point").agg(F.min("fp").alias("v"))
+    least = balls.groupBy("point").agg(F.min("fp").alias("v")).hint("merge")
     stars = balls.join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v")
     return pairs.union(stars).distinct()
 
