@@ -6,7 +6,7 @@ Every operator is one projection of built-in expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
@@ -21,6 +21,10 @@ def _barrier(df: DataFrame) -> DataFrame:
     return df.select(F.inline_outer(F.array(F.struct("*"))))
 
 
+def _without(arr: str, gone: list[str]) -> Column:
+    return F.filter(arr, lambda x: ~x.isin(gone))
+
+
 def tag(papers: DataFrame) -> DataFrame:
     """``tags``: built-in ones by priority, then those given, five at most; ``paper_type`` where none is set."""
     rows = with_defaults(papers)
@@ -28,7 +32,7 @@ def tag(papers: DataFrame) -> DataFrame:
     rows = rows.withColumn("tags0", F.col("tags")).withColumn("txt", F.expr(S.TEXT))
     rows = rows.withColumn("kept_tags", F.expr(S.matched_tags(SPARK)))
     for name, gone in R.SUPERSEDED:
-        kept = F.filter("kept_tags", lambda x, gone=gone: ~x.isin(gone))
+        kept = _without("kept_tags", gone)
         rows = _barrier(rows.withColumn("kept_tags", F.when(F.array_contains("kept_tags", name), kept).otherwise(F.col("kept_tags"))))
     found = F.expr(S.cascade(SPARK, "txt", R.PAPER_TYPES, SPARK.text(R.DEFAULT_TYPE)))
     rows = rows.withColumns({
