@@ -109,6 +109,9 @@ class Spark:
     def days(self, a: str, b: str) -> str:
         return f"datediff({a}, {b})"
 
+    def plus(self, date: str, days: str) -> str:
+        return f"date_add({date}, CAST({days} AS int))"
+
     def json(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 
@@ -206,6 +209,9 @@ class Duck(Spark):
     def days(self, a: str, b: str) -> str:
         return f"date_diff('day', {b}, {a})"
 
+    def plus(self, date: str, days: str) -> str:
+        return f"({date} + CAST({days} AS int))"
+
     def json(self, x: str, key: str) -> str:
         return f"json_extract_string({x}, '$.{key}')"
 
