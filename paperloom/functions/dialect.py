@@ -14,8 +14,9 @@ def quoted(text: str) -> str:
 class Spark:
     name = "spark"
 
-    def __init__(self, folder: str = "") -> None:
-        self.folder = folder
+    def __init__(self, folder: str = "", relation: str = "") -> None:
+        """``relation``: a view of papers to use in place of the one derived from documents."""
+        self.folder, self.relation = folder, relation
 
     def table(self, name: str) -> str:
         return f"parquet.`{self.folder}/{name}.parquet`"

@@ -27,7 +27,12 @@ VENUES = [
 ]
 
 
+COLUMNS = "pos, id, title, abstract, authors, affiliations_raw, year, published_date, venue, source, source_type, conference_rank, paper_url, pdf_url, citations"
+
+
 def papers(d: Spark) -> str:
+    if d.relation:
+        return f"SELECT {COLUMNS}, tags AS tags0 FROM {d.relation}"
     venue = [d.pick(d.texts([v[i] for v in VENUES]), "doc_id % 8 + 1") for i in range(4)]
     name = [d.pick(d.texts(NAMES), f"(doc_id * {m} + {a}) % {len(NAMES)} + 1") for m, a in ((1, 0), (7, 3), (11, 5), (13, 7))]
     site = [d.pick(d.texts(AFFILIATIONS), f"(doc_id * {m} + {a}) % {len(AFFILIATIONS)} + 1") for m, a in ((1, 0), (3, 1))]
