@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring": substring.OP1_SQL,
     "op5_decontaminate": decontam.OP5_SQL,
     "op6_quality": quality.OP6_SQL,
 }
