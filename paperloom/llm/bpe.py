@@ -33,7 +33,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 CHUNK = 65_536
 OVERLAP = 1_024
 #: Distinct pieces remembered by a worker.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Bytes of ids after which a batch is passed on.
 BATCH_BYTES = 8 << 20
 
@@ -56,7 +56,7 @@ class Coder:
         for raw, i in ranks.items():
             self.raw[i] = raw
         self.decimal = [str(i).encode() for i in range(len(self.raw))]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Coder:
@@ -64,16 +64,15 @@ class Coder:
             _coders[path, pattern] = cls(path, pattern)
         return _coders[path, pattern]
 
-    def encode_pieces(self, pieces: list[str]) -> list[int]:
-        known, out = self.known, []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[piece] = self.merge(piece.encode())
-            out += ids
-        return out
+    def encode_pieces(self, pieces: list[str]) -> bytes:
+        """Ids as packed little-endian unsigned 32-bit integers."""
+        known = self.known
+        if len(known) >= REMEMBERED:
+            known.clear()
+        for piece in set(pieces):
+            if piece not in known:
+                known[piece] = np.asarray(self.merge(piece.encode()), "<u4").tobytes()
+        return b"".join(map(known.__getitem__, pieces))
 
     def ends(self, text: str) -> list[int]:
         return [m.end() for m in self.pattern.finditer(text)]
@@ -120,8 +119,8 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids",
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
-def _row(doc_id: int | None, ids: list[int]) -> tuple:
-    return doc_id, len(ids), np.asarray(ids, dtype="<u4").tobytes()
+def _row(doc_id: int | None, ids: bytes) -> tuple:
+    return doc_id, len(ids) // 4, ids
 
 
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -35,7 +35,7 @@ def test_bpe_equals_library_and_decodes(spark, library, chunk):
 def test_white_space_classes_agree_with_library(library):
     coder = bpe.Coder.of(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     text = "".join(f"a{chr(c)}{chr(c)}b1{chr(c)}. " for c in [*range(0, 0x250), *range(0x2000, 0x2070), 0x3000, 0xFEFF])
-    assert coder.encode_pieces(coder.pattern.findall(text)) == library.encode_ordinary(text)
+    assert np.frombuffer(coder.encode_pieces(coder.pattern.findall(text)), "<u4").tolist() == library.encode_ordinary(text)
 
 
 def test_bpe_empty_table(spark):
