@@ -112,13 +112,10 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, columns unchanged.  Two passes over the texts rather than a shuffle of them."""
-    cols = docs.columns
-    judged = base_metrics(docs.select(F.col(host).alias("_source"), "text"), ["_source"]).select("_source", "base_failed")
-    passed = base_metrics(docs.select(F.struct(*cols).alias("_row"), F.col(host).alias("_source"), "text"), ["_row", "_source"])
-    # A filter pushed below the measures would build the words anew for every window; it doesn't pass a generator.
-    passed = passed.select("_row", "_source", F.explode_outer(F.array("base_failed")).alias("base_failed"))
-    out = _with_hosts(passed.where(~F.col("base_failed")), judged, "_source").where(F.col("_host_failed").isNull())
+    """The rows of ``docs`` that pass, columns unchanged.  The judged rows are written once, for the hosts' rates and for the result."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(host).alias("_source"), "text")
+    judged, _ = staged(base_metrics(rows, ["_row", "_source"]).select("_row", "_source", "base_failed"), "judged")
+    out = _with_hosts(judged.where(~F.col("base_failed")), judged, "_source").where(F.col("_host_failed").isNull())
     return out.select("_row.*")
 
 
