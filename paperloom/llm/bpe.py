@@ -74,6 +74,11 @@ class Coder:
                 known[piece] = np.asarray(self.merge(piece.encode()), "<u4").tobytes()
         return b"".join(map(known.__getitem__, pieces))
 
+    def decode(self, packed: bytes) -> tuple[bytes, str]:
+        """The raw bytes of packed ids, and a digest of the ids in decimal joined by one space."""
+        ids = np.frombuffer(packed, "<u4").tolist()
+        return b"".join(map(self.raw.__getitem__, ids)), hashlib.sha256(b" ".join(map(self.decimal.__getitem__, ids))).hexdigest()
+
     def ends(self, text: str) -> list[int]:
         return [m.end() for m in self.pattern.finditer(text)]
 
@@ -117,14 +122,20 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, weight: Callable[[tuple],
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 ENCODED = "doc_id long, n_tokens long, ids binary"
+_DECODED = pa.schema([*_ENCODED, ("decoded", pa.binary()), ("ids_sha256", pa.string())])
+DECODED = ENCODED + ", decoded binary, ids_sha256 string"
+
 
+def _row(coder: Coder, doc_id: int | None, ids: bytes, decoded: bool) -> tuple:
+    return (doc_id, len(ids) // 4, ids, *(coder.decode(ids) if decoded else ()))
 
-def _row(doc_id: int | None, ids: bytes) -> tuple:
-    return doc_id, len(ids) // 4, ids
 
+def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids``: ids as packed little-endian unsigned 32-bit integers, a row for each row of ``docs``.
 
-def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``doc_id, n_tokens, ids``: ids as packed little-endian unsigned 32-bit integers, a row for each row of ``docs``."""
+    ``decoded`` adds what ``decode`` adds, from the ids and in the same worker.
+    """
+    schema, fields = (_DECODED, DECODED) if decoded else (_ENCODED, ENCODED)
     path, pattern = ranks or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -135,9 +146,9 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    yield _row(doc_id, coder.encode_pieces(found(text.as_py())))
+                    yield _row(coder, doc_id, coder.encode_pieces(found(text.as_py())), decoded)
 
-        yield from _batches(each(), _ENCODED, lambda r: len(r[2]))
+        yield from _batches(each(), schema, lambda r: 2 * len(r[2]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(path, pattern)
@@ -151,20 +162,17 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
         first = {a: i for i, a in reversed(list(enumerate(at)))}
         parts, ends = group.column("part"), group.column("ends")
         chunks = [(a, parts[i].as_py(), ends[i].as_py()) for a, i in sorted(first.items())]
-        row = _row(group.column("doc_id")[0].as_py(), coder.encode_pieces(stitched(chunks, coder.ends)))
+        row = _row(coder, group.column("doc_id")[0].as_py(), coder.encode_pieces(stitched(chunks, coder.ends)), decoded)
         # Repeated rows bring their chunks as often.
-        return pa.Table.from_pylist([dict(zip(_ENCODED.names, row))] * (len(at) // len(first)), schema=_ENCODED)
+        return pa.Table.from_pylist([dict(zip(schema.names, row))] * (len(at) // len(first)), schema=schema)
 
     long = F.char_length("text") > chunk
-    short = rows.where(~long).mapInArrow(whole, ENCODED)
+    short = rows.where(~long).mapInArrow(whole, fields)
     starts = F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(chunk))
     parts = rows.where(long).select("doc_id", F.md5(F.col("text").cast("binary")).alias("sum"), "text", F.explode(starts).alias("at"))
     parts = parts.select("doc_id", "sum", "at", F.substring("text", F.col("at") + 1, F.lit(chunk + overlap)).alias("part"))
     parts = parts.repartition("doc_id", "sum", "at").mapInArrow(cut, "doc_id long, sum string, at int, part string, ends array<int>")
-    return short.unionByName(parts.groupBy("doc_id", "sum").applyInArrow(join, ENCODED))
-
-
-_DECODED = pa.schema([*_ENCODED, ("decoded", pa.binary()), ("ids_sha256", pa.string())])
+    return short.unionByName(parts.groupBy("doc_id", "sum").applyInArrow(join, fields))
 
 
 def decode(encoded: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -177,16 +185,13 @@ def decode(encoded: DataFrame, ranks: str | None = None, pattern: str | None = N
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for doc_id, n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    packed = packed.as_py()
-                    ids = np.frombuffer(packed, "<u4").tolist()
-                    digest = hashlib.sha256(b" ".join(map(coder.decimal.__getitem__, ids))).hexdigest()
-                    yield doc_id, n, packed, b"".join(map(coder.raw.__getitem__, ids)), digest
+                    yield doc_id, n, packed.as_py(), *coder.decode(packed.as_py())
 
         yield from _batches(each(), _DECODED, lambda r: len(r[2]) + len(r[3]))
 
-    return encoded.mapInArrow(raw, ENCODED + ", decoded binary, ids_sha256 string")
+    return encoded.mapInArrow(raw, DECODED)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decode(encode(table(spark, sf_dir, "documents")))
+    done = encode(table(spark, sf_dir, "documents"), decoded=True)
     return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -23,7 +23,10 @@ def library():
 @pytest.mark.parametrize("chunk", [bpe.CHUNK, 700])
 def test_bpe_equals_library_and_decodes(spark, library, chunk):
     docs = repeated(awkward(spark))
-    got = bpe.decode(bpe.encode(docs, chunk=chunk, overlap=64)).select("doc_id", "n_tokens", "ids", "decoded", "ids_sha256").collect()
+    names = ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256"]
+    got = bpe.encode(docs, chunk=chunk, overlap=64, decoded=True).select(*names).collect()
+    apart = bpe.decode(bpe.encode(docs.limit(20), chunk=chunk, overlap=64))
+    assert apart.columns == names and apart.count() == 20
     want = []
     for r in docs.collect():
         ids = library.encode_ordinary(r["text"] or "")
@@ -62,9 +65,24 @@ def test_dac_random_access():
     segment = dac.Segment(*dac.pack(ids))
     places = rng.permutation(len(ids))
     assert (segment.at(places) == ids[places]).all()
+    for begin, end in [(0, len(ids)), (3, 3), (63, 65), (64, 128), (470, 530), (len(ids) - 1, len(ids)), (len(ids), len(ids))]:
+        assert (segment.span(begin, end) == ids[begin:end]).all()
 
 
 def test_dac_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     dac.write(awkward(spark).limit(0), path)
     assert dac.read(spark, path).count() == 0
+
+
+def test_units_encode_as_whole_texts():
+    import random
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    coder = dac.UnitEncoder.of(P.path("byte_bpe_50k.json"))
+    rng = random.Random(11)
+    parts = ["word", "Éa", "x", " ", "  ", "\n", "\n\n", "\t", ".", ",", "!?", "'s", "'t", "12", "a1", "日本", "ª", "²", " ", " ", "\x1c", "don't", "<|endoftext|>", "\r\n", "_", "🙂"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
+    got = coder.encode(texts)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
