@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ REMEMBERED = 1_000_000
 #: A unit ends before a space that follows a character that is no space: the
 #: byte-level pattern never joins over such a place, so units encode on their own.
 _RUNS = re.compile(r"\s ")
+_MARKS = ("", *".,;:!?")
 _UNITS = re.compile(r"(?<=\S)(?= )")
 
 SEGMENT = "part int, before long, n_tokens long, doc_ids array<long>, ends array<long>, codes array<binary>, bitmaps array<binary>, ranks array<binary>"
@@ -55,7 +57,13 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for what follows 255.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
 
     @classmethod
     def of(cls, path: str) -> UnitEncoder:
@@ -65,21 +73,65 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian unsigned 32-bit integers."""
-        split = [_UNITS.split(t) if _RUNS.search(t) else _joined(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({u for units in split for u in units if u not in known})
+        for memory in (self.known, self.spaced):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        # A text of single spaces is its first unit and the units that begin with a space, held without it.
+        heads, tails = [], []
+        for text in texts:
+            if _RUNS.search(text):
+                heads.append(_UNITS.split(text))
+                tails.append([])
+            else:
+                first, *rest = text.split(" ")
+                heads.append([first])
+                tails.append(rest)
+        self._learn(set().union(*heads) - self.known.keys(), self.known, "")
+        self._learn(set().union(*tails) - self.spaced.keys(), self.spaced, " ")
+        known, spaced = self.known.__getitem__, self.spaced.__getitem__
+        return [b"".join((*map(known, head), *map(spaced, tail))) for head, tail in zip(heads, tails)]
+
+    def _learn(self, units: set[str], memory: dict[str, bytes], lead: str) -> None:
+        new = []
+        for unit in units:
+            found = self._plain(lead + unit)
+            if found is None:
+                new.append(unit)
+            else:
+                memory[unit] = found
         for i in range(0, len(new), 20_000):
-            found = self.library.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False)
-            for unit, x in zip(new[i : i + 20_000], found):
-                known[unit] = np.asarray(x.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, units)) for units in split]
-
-
-def _joined(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+            some = new[i : i + 20_000]
+            for unit, x in zip(some, self.library.encode_batch_fast([lead + u for u in some], add_special_tokens=False)):
+                memory[unit] = array("I", x.ids).tobytes()
+
+    def _plain(self, unit: str) -> bytes | None:
+        """Ids of words of letters, each alone or with one mark behind it, on lines of their own; None for other units.
+
+        A single line end between two characters that are no spaces is a match of the pattern by itself.
+        """
+        if "\n" in unit:
+            first, *rest = unit.split("\n")
+            if not first or first == " " or not all(rest):
+                return None
+            lines = [self._word(line) for line in (first, *rest)]
+            return None if None in lines else self._piece("\n").join(lines)
+        return self._word(unit)
+
+    def _word(self, text: str) -> bytes | None:
+        word, mark = (text, "") if text[-1:].isalpha() else (text[:-1], text[-1:])
+        if not (word[1:] if word[:1] == " " else word).isalpha() or mark not in _MARKS:
+            return None
+        return self._piece(word) + self._piece(mark) if mark else self._piece(word)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one match of the pattern, straight from the library's model."""
+        spaced = piece[:1] == " "
+        memory, key = (self.spaced, piece[1:]) if spaced else (self.known, piece)
+        found = memory.get(key)
+        if found is None:
+            coded = "\u0120" + key if spaced and key.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+            found = memory[key] = array("I", [x.id for x in self.model.tokenize(coded)]).tobytes()
+        return found
 
 
 def pack(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
@@ -124,6 +176,23 @@ class Segment:
         return out
 
 
+    def span(self, begin: int, end: int) -> np.ndarray:
+        """Ids from ``begin`` to ``end``: neighbours' next chunks are neighbours, so a rank finds the first of them."""
+        out = self.codes[0][begin:end].astype(np.uint32)
+        who: np.ndarray | slice = slice(None)
+        for level, bitmap in enumerate(self.bitmaps):
+            word, bit = begin >> 6, begin & 63
+            bits = np.unpackbits(bitmap[word : (end + 63) >> 6].view(np.uint8), bitorder="little")[bit : bit + end - begin].astype(bool)
+            if not bits.any():
+                break
+            below = int(bitmap[word]) & ((1 << bit) - 1)
+            begin = int(self.ranks[level][word]) + below.bit_count()
+            end = begin + int(bits.sum())
+            who = np.flatnonzero(bits) if isinstance(who, slice) else who[bits]
+            out[who] |= self.codes[level + 1][begin:end].astype(np.uint32) << np.uint32(8 * (level + 1))
+        return out
+
+
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encodes ``docs`` and writes the segments to ``path`` in doc_id order.
 
@@ -185,8 +254,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 segment = Segment(row["codes"], row["bitmaps"], row["ranks"])
                 out, begin = [], 0
                 for doc_id, end in zip(row["doc_ids"], row["ends"]):
-                    ids = segment.at(np.arange(begin, end))
-                    out.append((doc_id, row["part"], offsets[row["part"]] + row["before"] + begin, end - begin, ids.astype("<u4").tobytes()))
+                    ids = segment.span(begin, end).astype("<u4").tobytes()
+                    out.append((doc_id, row["part"], offsets[row["part"]] + row["before"] + begin, end - begin, ids))
                     begin = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _READ.types)], schema=_READ)
 
