@@ -10,6 +10,13 @@ from .dialect import Spark
 from .text import words
 
 TEXT = "concat(title, ' ', abstract)"
+#: Letters and digits beyond ASCII: to some engines they end a word for ``\b``, to others they don't.
+FOREIGN = r"[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}\p{M}]"
+
+
+def folded(d: Spark, x: str) -> str:
+    """Text for the rules, whose patterns are ASCII: a foreign letter stays part of its word and matches nothing."""
+    return d.replace(x, FOREIGN, "_")
 
 
 def matched_tags(d: Spark) -> str:
@@ -82,6 +89,7 @@ def completeness(d: Spark) -> str:
 
 def institution(d: Spark) -> str:
     where = f"CASE WHEN {d.size('affiliations_raw')} > 0 THEN {d.join('affiliations_raw', ' ')} ELSE abstract END"
+    where = folded(d, where)
     return "CASE " + " ".join(f"WHEN {d.like(where, p)} THEN {s}e0" for s, p in R.INSTITUTIONS) + " ELSE 0.0e0 END"
 
 
@@ -99,7 +107,7 @@ def capped(d: Spark, pattern: str, weight: float) -> str:
 
 
 def clarity(d: Spark) -> str:
-    return f"least(({words(d, 'abstract')}) / 25.0e0, 5.0e0) + least(1.5e0 * {d.count('abstract', R.CLARITY)}, 5.0e0)"
+    return f"least(({words(d, 'abstract')}) / 25.0e0, 5.0e0) + least(1.5e0 * {d.count(folded(d, 'abstract'), R.CLARITY)}, 5.0e0)"
 
 
 def accessibility() -> str:

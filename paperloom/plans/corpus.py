@@ -21,7 +21,7 @@ AS_OF = "DATE '2026-06-01'"
 def chain(d: Spark, upto: str = "content") -> str:
     """WITH clauses of the relations up to the named one."""
     steps: list[tuple[str, str]] = [("papers", papers(d))]
-    steps.append(("spoken", f"SELECT *, {S.TEXT} AS txt FROM papers"))
+    steps.append(("spoken", f"SELECT *, {S.folded(d, S.TEXT)} AS txt FROM papers"))
     steps.append(("matched", f"SELECT *, {S.matched_tags(d)} AS hit_tags FROM spoken"))
     for i, (tag, gone) in enumerate(R.SUPERSEDED):
         before = "matched" if i == 0 else f"super{i - 1}"
@@ -105,7 +105,7 @@ simple("read_reason", "scored", _reason([
 
 
 def contribution(d: Spark) -> str:
-    told = d.filter("sentences", d.like("x", R.CONTRIBUTION))
+    told = d.filter("sentences", d.like(S.folded(d, "x"), R.CONTRIBUTION))
     return f"trim(coalesce({d.at(told, 1)}, {d.at('sentences', 1)}, ''))"
 
 

@@ -40,13 +40,13 @@ def papers(d: Spark) -> str:
     arxiv = "(doc_id % 8 IN (0, 4) OR doc_id % 10 IN (8, 9))"
     number = "lpad(CAST(CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END AS string), 5, '0')"
     version = "CASE WHEN doc_id % 10 = 9 THEN 'v2' ELSE 'v1' END"
-    body = d.replace("coalesce(text, '')", r"[^\x00-\x7F]", "")
+    body = "coalesce(text, '')"
     head = d.join(d.slice(d.split("trim(body)", r"\s+"), 8), " ")
     return f"""
     SELECT doc_id AS pos,
       CASE WHEN {arxiv} THEN concat('arxiv:2401.', {number}, {version}) ELSE concat({venue[1]}, ':', CAST(doc_id AS string)) END AS id,
       concat({head}, ' ', {d.pick(d.texts(TITLES), "doc_id % 16 + 1")}) AS title,
-      concat(left(body, 1500), ' ', {d.pick(d.texts(SENTENCES), "doc_id % 24 + 1")}, ' ', {d.pick(d.texts(SENTENCES), "(doc_id * 5 + 11) % 24 + 1")}) AS abstract,
+      concat(body, ' ', {d.pick(d.texts(SENTENCES), "doc_id % 24 + 1")}, ' ', {d.pick(d.texts(SENTENCES), "(doc_id * 5 + 11) % 24 + 1")}) AS abstract,
       CASE doc_id % 4 WHEN 0 THEN {d.array(name[0])} WHEN 1 THEN {d.array(*name[:2])} WHEN 2 THEN {d.array(*name[:3])} ELSE {d.array(*name)} END AS authors,
       CASE WHEN doc_id % 3 = 0 THEN {d.array(*site)} ELSE {none} END AS affiliations_raw,
       CAST(2015 + doc_id % 12 AS int) AS year,
