@@ -365,13 +365,13 @@ def _tokens(d: Spark) -> str:
 
 
 QUERIES["tokenise"] = lambda d: f"{_tokens(d)}\nSELECT pos, {d.size('ws')} AS n, {d.md5(d.join('ws', ' '))} AS digest FROM tokens"
-QUERIES["term_counts"] = lambda d: f"{_tokens(d)}\nSELECT venue, term, count(*) AS n FROM terms GROUP BY venue, term HAVING count(*) >= 10"
+QUERIES["term_counts"] = lambda d: f"{_tokens(d)}\nSELECT venue, term, count(*) AS n FROM terms GROUP BY venue, term"
 
 
 @query
 def bigram_counts(d: Spark) -> str:
     pairs = "transform(sequence(0, size(ws) - 2), i -> concat(ws[i], ' ', ws[i + 1]))" if d.name == "spark" else "list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])"
-    return f"{_tokens(d)}, pairs AS (SELECT venue, {d.explode(pairs)} AS g FROM tokens WHERE {d.size('ws')} >= 2)\nSELECT venue, g, count(*) AS n FROM pairs WHERE split_part(g, ' ', 1) <> split_part(g, ' ', 2) GROUP BY venue, g HAVING count(*) >= 5"
+    return f"{_tokens(d)}, pairs AS (SELECT venue, {d.explode(pairs)} AS g FROM tokens WHERE {d.size('ws')} >= 2)\nSELECT venue, g, count(*) AS n FROM pairs WHERE split_part(g, ' ', 1) <> split_part(g, ' ', 2) GROUP BY venue, g"
 
 
 @query
