@@ -65,7 +65,7 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
         sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
         blocks = max(1, -(-windows.count() // BLOCK))
         text = F.coalesce("text", F.lit(""))
-        rows = docs.select("doc_id", F.md5(text.cast("binary")).alias("sum"), words_of(ascii_lower(text), WORDS).alias("w"))
+        rows = docs.select("doc_id", digest().alias("sum"), words_of(ascii_lower(text), WORDS).alias("w"))
         n = F.size("w")
         # Hashes of all shingle sizes in one array behind a first element that stands for the document itself.
         parts, base, bases = [F.array(F.lit(0).cast("long"))], F.lit(1), F.lit(0)
@@ -96,8 +96,13 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
         windows.unpersist()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items, contaminated`` for every row of ``docs``."""
+def digest() -> Column:
+    """What tells apart texts of one doc_id."""
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, sum, n_words, n_hit, n_items, items, contaminated`` for every row of ``docs``; sum is the text's digest."""
     found = occurrences(docs, item_windows(items))
     # A document's hits are pre-aggregated where it was read; its group is bounded by its own words.
     grouped = found.groupBy("doc_id", "sum", "n_words").agg(
@@ -114,15 +119,20 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["sum"],
     )
-    rows = grouped.select("doc_id", "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("_items"))).alias("items"), "_copies")
+    rows = grouped.select("doc_id", "sum", "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("_items"))).alias("items"), "_copies")
     rows = rows.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
+        "doc_id", "sum", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
         ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"),
     )
     return rows.drop("_copy")
 
 
+def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items, contaminated`` for every row of ``docs``."""
+    return judge(docs, items).drop("sum")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
