@@ -36,7 +36,7 @@ SEGMENT_TOKENS = 1_000_000
 #: Texts that are encoded at a time, in characters.
 CHUNK = 2_000_000
 #: Distinct units, and characters of them, after which a worker forgets; a chunk adds CHUNK of them and a text at most.
-REMEMBERED, REMEMBERED_CHARS = 2_000_000, 40_000_000
+REMEMBERED, REMEMBERED_CHARS = 1_400_000, 32_000_000
 #: A unit ends before a space that follows a character that is no space: the
 #: byte-level pattern never joins over such a place, so units encode on their own.
 #: The first pattern finds white space before a space, in Arrow's dialect.
