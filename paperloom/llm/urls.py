@@ -8,7 +8,9 @@ alike; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,28 +18,24 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, table
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-BUCKETS = 512
+BUCKETS = 2048
 GRAM = 3
-EPOCHS = 40
-RATE = 4.0
-SHRINK = 0.0005
+EPOCHS = 20
+RATE = 3.0
+SHRINK = 0.001
+#: Share of urls to block that is expected before anything is known of one: the fixed intercept is its log-odds.
+BASE_RATE = 0.2
 #: The training rows are gathered into one array; more than this many are refused.
 MAX_LABELLED = 2_000
-#: Words that make up the small labelled table; every combination below is a row of it.
-BLOCKED_WORDS = ["cheap-pills", "spam-farm", "casino-win", "free-money", "adult-cams", "replica-watches", "crack-serials", "payday-loans"]
-PLAIN_WORDS = ["library", "weather", "museum", "garden", "research", "theatre", "recipes", "history", "tharen", "rething", "onerth", "edtion"]
-PATHS = ["", "/", "/en/12", "/index.html", "/de/340/", "/fr/77.html"]
+#: The default labelled table, of invented hosts: columns url and blocked (1 or 0).
+LABELS = Path(__file__).with_name("url_labels.csv")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The default labelled table: ``url``, ``blocked``."""
-    rows = []
-    for words, blocked in ((BLOCKED_WORDS, 1.0), (PLAIN_WORDS, 0.0)):
-        for i, word in enumerate(words):
-            for j, path in enumerate(PATHS[i % 2 :: 2]):
-                rows.append((f"http://{('www.', '', 'blog.')[j % 3]}{word}.example.{('com', 'net', 'org')[(i + j) % 3]}{path}", blocked))
-    values = F.array(*[F.struct(F.lit(url).alias("url"), F.lit(blocked).alias("blocked")) for url, blocked in rows])
-    return spark.range(1).select(F.inline(values))
+    lines = F.explode(F.split(F.lit(LABELS.read_text().strip()), "\n")).alias("line")
+    row = F.from_csv("line", "url string, blocked double")
+    return spark.range(1).select(lines).where("line <> 'url,blocked'").select(row.alias("r")).select("r.*")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -69,30 +67,37 @@ def gram_buckets(host: Column, path: Column) -> Column:
     return F.concat(part("h", host), part("p", path))
 
 
+def features(grams: Column) -> Column:
+    """The distinct buckets of a url; each weighs 1 / sqrt of their number, so that all urls have length one."""
+    return F.array_sort(F.array_distinct(grams))
+
+
 def train(labelled: DataFrame, epochs: int = EPOCHS) -> list[float]:
-    """Weights of the buckets and, last, the intercept: logistic descent over the labelled rows as one SQL expression.
+    """Weights of the buckets and, last, the fixed intercept: logistic descent over the labelled rows as one SQL expression.
 
-    The rows are visited in order of their url, so that the result doesn't depend on partitions.
+    The rows are visited in order of their url's checksum, so that the result
+    doesn't depend on partitions and the classes take turns.  Rows with a null
+    label or without n-grams teach nothing; without any row all weights but the intercept are zero.
     """
     n = labelled.count()
     if n > MAX_LABELLED:
         raise ValueError(f"{n} labelled urls; at most {MAX_LABELLED} are gathered for training")
     host, path = split_url(F.col("url"))
-    rows = labelled.select("url", F.col("blocked").cast("double").alias("y"), gram_buckets(host, path).alias("g"))
-    rows = rows.where(F.size("g") > 0).select("url", "y", F.posexplode("g").alias("at", "b")).groupBy("url", "y", "b").agg(F.count("at").alias("n"))
-    rows = rows.groupBy("url", "y").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sum("n").alias("all"))
-    share = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda j: F.coalesce(F.try_element_at("m", j) / F.col("all"), F.lit(0.0)))
-    steps = rows.select("url", "y", F.concat(share, F.array(F.lit(1.0))).alias("x"))
-    steps = steps.agg(F.array_sort(F.collect_list(F.struct("url", "y", "x"))).alias("s"))
+    rows = labelled.where("blocked IS NOT NULL").select("url", F.col("blocked").cast("double").alias("y"), features(gram_buckets(host, path)).alias("g"))
+    rows = rows.where(F.size("g") > 0)
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda j: F.when(F.array_contains("g", j), 1 / F.sqrt(F.size("g"))).otherwise(F.lit(0.0)))
+    steps = rows.select(F.crc32("url").alias("o"), "url", "y", "g", F.concat(dense, F.array(F.lit(0.0))).alias("x"))
+    steps = steps.agg(F.array_sort(F.collect_list(F.struct("o", "url", "y", "g", "x"))).alias("s"))
 
     def step(w: Column, r: Column) -> Column:
-        z = F.aggregate(F.zip_with(w, r["x"], lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        z = F.aggregate(r["g"], F.lit(0.0), lambda acc, b: acc + F.get(w, b)) / F.sqrt(F.size(r["g"])) + F.get(w, F.lit(BUCKETS))
         # A one-element array binds the error once for all weights.
-        return F.aggregate(F.array(r["y"] - 1 / (1 + F.exp(-z))), w, lambda acc, e: F.zip_with(acc, r["x"], lambda a, b: a * (1 - SHRINK) + RATE * e * b))
+        return F.aggregate(F.array(r["y"] - 1 / (1 + F.exp(-z))), w, lambda acc, e: F.zip_with(acc, r["x"], lambda a, b: F.when(b == 0, a).otherwise(a * (1 - SHRINK) + RATE * e * b)))
 
-    zero = F.array_repeat(F.lit(0.0), BUCKETS + 1)
+    intercept = math.log(BASE_RATE / (1 - BASE_RATE))
+    zero = F.concat(F.array_repeat(F.lit(0.0), BUCKETS), F.array(F.lit(intercept)))
     fit = steps.select(F.aggregate(F.flatten(F.array_repeat("s", epochs)), zero, step).alias("w")).first()
-    return list(fit["w"]) if fit["w"] else [0.0] * (BUCKETS + 1)
+    return list(fit["w"]) if fit["w"] else [0.0] * BUCKETS + [intercept]
 
 
 def filter_urls(pages: DataFrame, weights: list[float], rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -100,9 +105,9 @@ def filter_urls(pages: DataFrame, weights: list[float], rules: Sequence[tuple[st
     w = F.lit([float(x) for x in weights[:-1]])
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_g", gram_buckets(F.col("host"), F.col("path")))
+    rows = rows.withColumn("_g", features(gram_buckets(F.col("host"), F.col("path"))))
     total = F.aggregate(F.transform("_g", lambda b: F.get(w, b)), F.lit(0.0), lambda acc, v: acc + v)
-    z = total / F.greatest(F.size("_g"), F.lit(1)) + F.lit(float(weights[-1]))
+    z = total / F.sqrt(F.greatest(F.size("_g"), F.lit(1))) + F.lit(float(weights[-1]))
     score = F.when(F.size("_g") > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0))
     rule, fixed = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), fixed.alias("_fixed"), score.alias("score"))
