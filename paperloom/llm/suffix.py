@@ -13,7 +13,11 @@ that are still equal after the last digit are exactly the repeated windows.
 * Last digit: the THRESHOLD bytes themselves, for the ranges that share an anchor
   but not a span; of each span one copy takes part for all.
 
-Keys are 64-bit hashes.  Entries are pre-aggregated by block before each shuffle.
+Anchors are told apart by a rolling hash, which only chooses and groups: ranges
+whose anchors are taken for equal by mistake part at the next digit.  Equality
+rests on BLAKE2b digests of the bytes themselves, 64 bits of a span beside the 64
+of its anchor, 128 bits of a window.  Entries are pre-aggregated by block before
+each shuffle; rows of one doc_id, or of none, are dealt over blocks by their text.
 
 Defined cases: null text is empty; a text shorter than the threshold keeps all
 its bytes; matches in one document and in repeated rows count; bytes that are
@@ -23,6 +27,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +45,7 @@ _MOST = np.uint64((1 << 64) - 1)
 ALL, SPEAKS, JUDGED = 1, 2, 3
 
 ENTRY = "block long, bucket int, keys binary, spans binary, marks binary"
-ANSWER = "_block long, keys binary, marks binary"
+ANSWER = "_block long, keys binary, checks binary, marks binary"
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -50,6 +55,13 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two columns of 64 bits for each of the strings."""
+    raw, blake = memoryview(data), hashlib.blake2b
+    found = [blake(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())]
+    return np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
+
+
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Minimum or maximum of every ``width`` neighbours."""
     best, fill = (np.minimum, _MOST) if least else (np.maximum, np.uint64(0))
@@ -95,7 +107,7 @@ class Ranges:
         real = valid[first]
         self.first, self.last = first[real], last[real]
         self.anchor = least[self.first]
-        self.span = part.hashes(self.first, self.last + size)
+        self.span = digests(part.data, self.first, self.last + size)[:, 0]
         # Places of anchors: where one is the least of some window.
         over = np.concatenate([np.zeros(width - 1, np.uint64), np.where(valid, least, np.uint64(0)), np.zeros(width - 1, np.uint64)])
         places = np.flatnonzero((anchors == _slide(over, width, least=False)[: len(anchors)]) & (anchors != _MOST))
@@ -107,10 +119,10 @@ class Ranges:
         self.again = np.bincount(row[same], minlength=len(count)) > 1
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of all windows of the chosen ranges."""
+        """Places and digests of all windows of the chosen ranges."""
         n = self.last[which] - self.first[which] + 1
         at = np.repeat(self.first[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return at, self.part.hashes(at, at + self.size)
+        return at, digests(self.part.data, at, at + self.size)
 
 
 def _pieces(texts: pa.ChunkedArray, size: int, gram: int) -> Iterator[tuple[list[bytes], list[int], Ranges]]:
@@ -143,11 +155,12 @@ def _received(group: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.nd
     return group.column("block").to_pylist(), np.concatenate(keys), spans, marks, np.repeat(np.arange(len(keys)), [len(k) for k in keys])
 
 
-def _answer(blocks: list[int], source: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> pa.Table:
+def _answer(blocks: list[int], source: np.ndarray, keys: np.ndarray, checks: np.ndarray | None, marks: np.ndarray) -> pa.Table:
     order = np.argsort(source, kind="stable")
     source, keys, marks = source[order], keys[order], marks[order]
+    checks = None if checks is None else checks[order]
     cuts = np.searchsorted(source, np.arange(len(blocks) + 1))
-    return _table([(blocks[i], planes(keys[a:b]), marks[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a], ANSWER)
+    return _table([(blocks[i], planes(keys[a:b]), b"" if checks is None else planes(checks[a:b]), marks[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a], ANSWER)
 
 
 def _told(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +180,29 @@ def _look_up(wanted: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> np.ndar
     return out
 
 
+_PAIR = np.dtype([("key", "<u8"), ("check", "<u8")])
+
+
+def _sorted_pairs(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(keys), _PAIR)
+    out["key"], out["check"] = keys, checks
+    return out[np.lexsort((checks, keys))]
+
+
+def _within(wanted: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which of the wanted rows of two are among the sorted pairs."""
+    out = np.zeros(len(wanted), bool)
+    at = np.searchsorted(pairs["key"], wanted[:, 0])
+    live = np.flatnonzero(at < len(pairs))
+    while len(live):
+        live = live[pairs["key"][at[live]] == wanted[live, 0]]
+        out[live] |= pairs["check"][at[live]] == wanted[live, 1]
+        live = live[~out[live]]
+        at[live] += 1
+        live = live[at[live] < len(pairs)]
+    return out
+
+
 _AGAIN, _JUDGE = 4, 4
 
 
@@ -201,7 +237,7 @@ def second_digit(group: pa.Table) -> pa.Table:
     told[further & (copies > 1) & new_span] = SPEAKS
     told[further & (copies == 1)] = JUDGED
     keep = told > 0
-    return _answer(blocks, source[keep], spans[keep], told[keep])
+    return _answer(blocks, source[keep], spans[keep], None, told[keep])
 
 
 def last_digit(n_buckets: int, size: int, gram: int):
@@ -219,25 +255,22 @@ def last_digit(n_buckets: int, size: int, gram: int):
                 hashes.append(found)
                 counts.append(np.full(len(found), count, np.uint8))
         h = np.concatenate(hashes)
-        h, _, c = _merged(h, np.zeros(len(h), np.uint64), np.concatenate(counts))
-        block = docs.column("_block")[0].as_py()
-        return _table([(block, k, planes(h[a:b]), b"", c[a:b].tobytes()) for k, a, b in bounds(h, n_buckets)], ENTRY)
+        merged = _merged(h[:, 0], h[:, 1], np.concatenate(counts))
+        return _send(docs.column("_block")[0].as_py(), *merged, n_buckets)
 
     return of_block
 
 
 def repeated_windows(group: pa.Table) -> pa.Table:
     """Of a bucket of windows: those that occur twice, told to the blocks that asked."""
-    keys = [unplanes(x.as_py(), "<u8") for x in group.column("keys")]
-    source = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    key, marks = np.concatenate(keys), np.frombuffer(b"".join(x.as_py() for x in group.column("marks")), np.uint8)
-    order = np.argsort(key, kind="stable")
-    key, marks, source = key[order], marks[order], source[order]
+    blocks, key, check, marks, source = _received(group)
+    order = np.lexsort((check, key))
+    key, check, marks, source = key[order], check[order], marks[order], source[order]
     new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
+    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
     total = np.add.reduceat((marks & 3).astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
     tell = (total > 1) & (marks & _JUDGE > 0)
-    return _answer(group.column("block").to_pylist(), source[tell], key[tell], np.ones(int(tell.sum()), np.uint8))
+    return _answer(blocks, source[tell], key[tell], check[tell], np.ones(int(tell.sum()), np.uint8))
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -250,7 +283,8 @@ def remove(size: int, gram: int):
     def of_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
         kind = answers.column("kind").to_numpy() if answers.num_rows else np.zeros(0)
         keys, marks = _told(answers.filter(pa.array(kind == 0)))
-        repeated, ones = _told(answers.filter(pa.array(kind == 1)))
+        told_windows = answers.filter(pa.array(kind == 1))
+        repeated = _sorted_pairs(*(np.concatenate([np.zeros(0, np.uint64), *(unplanes(x.as_py(), "<u8") for x in told_windows.column(c))]) for c in ("keys", "checks")))
         ids, rows, number = docs.column("doc_id").to_pylist(), [], 0
         for _, raw in slices(docs.column("_text")):
             able = [i for i, t in enumerate(raw) if len(t) >= size] if len(keys) else []
@@ -264,7 +298,7 @@ def remove(size: int, gram: int):
                 np.add.at(cover, r.first[whole], 1)
                 np.add.at(cover, r.last[whole] + size, -1)
                 at, found = r.windows(np.flatnonzero(told == JUDGED))
-                at = at[_look_up(found, repeated, ones) > 0]
+                at = at[_within(found, repeated)]
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + size, -1)
             gone = np.cumsum(cover[:-1]) > 0
@@ -290,7 +324,7 @@ def dedup(docs: DataFrame, size: int = THRESHOLD, gram: int | None = None) -> Da
     spark, gram = docs.sparkSession, gram or size // 2
     n = number_of_blocks(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
-    rows = rows.withColumn("_block", block_of(F.col("doc_id"), n))
+    rows = rows.withColumn("_block", block_of(F.xxhash64("doc_id", "_text"), n))
     texts = rows.groupBy("_block")
     entries = texts.applyInArrow(first_digit(n, size, gram), ENTRY)
     spans, _ = staged(entries.groupBy("bucket").applyInArrow(second_digit, ANSWER), "spans")

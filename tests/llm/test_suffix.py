@@ -51,3 +51,24 @@ def test_ranges_cover_every_window_once():
 
 def test_empty_table(spark):
     assert suffix.dedup(awkward(spark).limit(0)).count() == 0
+
+
+def test_hash_collisions_remove_nothing(spark):
+    """Texts whose polynomial hashes modulo 2^64 agree: the first 400 bytes of one repeat nowhere."""
+    order = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ k] for x in order) for k in (0, 1))
+    tail = "".join(chr(97 + (i * i * 11 + i // 7) % 26) for i in range(1400))
+    rows = [(1, a + tail[:100]), (2, b + tail[100:200]), (3, "x" + a[:1000]), (None, None), (None, ""), (None, tail), (None, tail)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (400, 1024):
+        got = sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix.dedup(docs, size).collect()), key=repr)
+        assert got == brute(rows, size)
+
+
+def test_rows_without_an_id_are_dealt_over_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom.llm.blocks import block_of
+
+    rows = spark.range(200).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("_text"))
+    assert rows.select(block_of(F.xxhash64("doc_id", "_text"), 8)).distinct().count() == 8
