@@ -3,12 +3,17 @@
 The index is a list of immutable runs: the fingerprints of all historical windows
 of WINDOW words, sorted, in buckets of leading bits.  A new batch of documents
 sends its window fingerprints, sorted, to the buckets; there they are merged with
-the runs, a match is verified against further CHECK bits from an independent hash,
-and a word is removed if a window over it was met in history or starts in a
+the runs, a match is verified against 16 further bits of an independent hash, and
+a word is removed if a window over it was met in history or starts in a
 document of the batch with a smaller doc_id.  The fingerprints that were new form
 the next run; runs of equal level are compacted into one while they are merged.
 
-``dedup`` feeds a whole table in ascending batches of doc_id.
+A word is known by the two halves of its BLAKE2b digest; a window's key is a
+multilinear hash of the one halves of its words, its check one of the others.
+
+``dedup`` feeds a whole table in ascending batches of doc_id.  With ``index_dir``
+it goes on from the runs an earlier job left there, whose documents count as
+smaller, and leaves its own.
 
 Defined cases: null or blank text has no words; a text of fewer words than a
 window keeps them all; rows of equal doc_id are one document to the rule and each
@@ -18,6 +23,7 @@ gives an empty result; other columns can be carried along by name.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -26,11 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Slice, block_of, bounds, mixed, number_of_blocks, planes, slices, unplanes
+from .blocks import block_of, bounds, mixed, number_of_blocks, planes, slices, unplanes
 from .common import new_path, release, table
 
 WINDOW = 13
 BATCHES = 3
+#: Most buckets of the index; Spark refuses tables of more than spark.sql.sources.bucketing.maxBuckets, 100,000 by default.
+MAX_BUCKETS = 65_536
 _LAST = (1 << 63) - 1
 _rng = np.random.default_rng(13)
 _KEYS, _CHECKS = (_rng.integers(0, 1 << 63, WINDOW, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -39,17 +47,20 @@ _KEYS, _CHECKS = (_rng.integers(0, 1 << 63, WINDOW, np.uint64) * np.uint64(2) +
 ROW = "block long, keys binary, checks binary, owners binary, kind string, bucket int"
 
 
-def windows(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Key, check, first word and text number of every window; and the text number of every word."""
-    start, end, owner = part.words()
-    n = max(0, len(start) - WINDOW + 1)
+    split = [t.split() for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in split])
+    numbers: dict[bytes, int] = {}
+    word = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in split for w in ws), np.int64, len(owner))
+    n = max(0, len(owner) - WINDOW + 1)
     first = np.flatnonzero(owner[:n] == owner[WINDOW - 1 : WINDOW - 1 + n]) if n else np.zeros(0, np.int64)
-    hashes = part.hashes(start, end)
+    digests = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in numbers]), "<u8").reshape(-1, 2)
+    one, other = digests[word, 0], digests[word, 1]
     key, check = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
     for k in range(WINDOW):
-        word = hashes[first + k]
-        key += word * _KEYS[k]
-        check += (word >> np.uint64(7)) * _CHECKS[k]
+        key += one[first + k] * _KEYS[k]
+        check += other[first + k] * _CHECKS[k]
     return mixed(key), (mixed(check) >> np.uint64(48)).astype(np.uint16), first, owner[first], owner
 
 
@@ -61,7 +72,7 @@ def fingerprints(n_buckets: int):
         ids, block = group.column("_id").to_numpy(), group.column("_block")[0].as_py()
         keys, checks, owners = [], [], []
         for at, texts in slices(group.column("_text")):
-            key, check, _, who, _ = windows(Slice(texts))
+            key, check, _, who, _ = windows(texts)
             keys.append(key)
             checks.append(check)
             owners.append(ids[at + who])
@@ -165,14 +176,37 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, n_buckets: int) -> None:
         self.spark, self.n_buckets = spark, n_buckets
-        self.runs: list[tuple[int, str, str]] = []  # level, table, path
+        self.runs: list[tuple[int, str, str]] = []  # level, table ("" for a run of another job, read by its path), path
         self.hits: list[str] = []
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex | None:
+        """The index an earlier job saved to ``folder``; None where there is none."""
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
+        if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            return None
+        rows = spark.read.schema("n_buckets int, level int, place int, path string").json(f"{folder}/manifest").orderBy("place").collect()
+        index = cls(spark, rows[0]["n_buckets"])
+        index.runs = [(r["level"], "", r["path"]) for r in rows]
+        return index
+
+    def save(self, folder: str) -> None:
+        """Copies the runs to ``folder``, which outlives this session; a later job opens them."""
+        held = []
+        for place, (level, _, path) in enumerate(self.runs):
+            kept = path if path.startswith(f"{folder}/") else f"{folder}/{uuid.uuid4().hex}"
+            if kept != path:
+                self.spark.read.schema(ROW).parquet(path).where("kind = 'run'").write.option("compression", "zstd").partitionBy("kind").parquet(kept)
+            held.append((self.n_buckets, level, place, kept))
+        if held:
+            self.spark.createDataFrame(held, "n_buckets int, level int, place int, path string").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+
     def _history(self, kept: int) -> DataFrame:
         """The runs' rows; ``fold`` marks all but the first ``kept`` runs."""
         rows = None
         for i, (_, name, _) in enumerate(self.runs):
-            run = self.spark.table(name).where("kind = 'run'").select("keys", "checks", "bucket", F.lit(i >= kept).alias("fold"))
+            held = self.spark.table(name) if name else self.spark.read.schema(ROW).parquet(self.runs[i][2])
+            run = held.where("kind = 'run'").select("keys", "checks", "bucket", F.lit(i >= kept).alias("fold"))
             rows = run if rows is None else rows.unionByName(run)
         return rows if rows is not None else self.spark.range(0).selectExpr("cast(null as binary) keys", "cast(null as binary) checks", "0 as bucket", "false as fold")
 
@@ -194,6 +228,8 @@ class FingerprintIndex:
     def drop_runs(self, kept: int = 0) -> None:
         """Forgets all runs but the first ``kept``; the answers of their batches stay."""
         for _, name, path in self.runs[kept:]:
+            if not name:
+                continue  # another job's
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind=run")
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -220,7 +256,7 @@ def remove(carried: list[str], schema: pa.Schema):
         keys, checks, owners = keys[order], checks[order], owners[order]
         n_words, n_removed, kept = [], [], []
         for at, texts in slices(docs.column("_text")):
-            key, check, first, who, owner = windows(Slice(texts)) if len(keys) else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+            key, check, first, who, owner = windows(texts) if len(keys) else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
             found = np.searchsorted(keys, key)
             hit = np.zeros(len(key), bool)
             live = np.flatnonzero(found < len(keys))
@@ -251,7 +287,7 @@ def remove(carried: list[str], schema: pa.Schema):
     return of_block
 
 
-def dedup(docs: DataFrame, carry: list[str] | None = None, batches: int = BATCHES) -> DataFrame:
+def dedup(docs: DataFrame, carry: list[str] | None = None, batches: int = BATCHES, index_dir: str | None = None) -> DataFrame:
     """The ``carry`` columns (doc_id) of every row with ``_n_words``, ``_n_removed`` and ``_kept``, the words left joined by one space."""
     spark, carry = docs.sparkSession, carry or ["doc_id"]
     n = number_of_blocks(docs)
@@ -261,16 +297,26 @@ def dedup(docs: DataFrame, carry: list[str] | None = None, batches: int = BATCHE
     turn: Column = F.lit(0)
     for c in cuts:
         turn = turn + F.when(ids > c, 1).otherwise(0)
-    rows = docs.select(*carry, ids.alias("_id"), F.col("text").alias("_text"), turn.alias("_turn"))
-    rows = rows.withColumn("_block", F.col("_turn") * F.lit(n).cast("long") + block_of(F.col("_id"), n))
-    index = FingerprintIndex(spark, n)
-    for i in range(len(cuts) + 1):
-        index.add(rows.where(F.col("_turn") == i).select("_block", "_id", "_text"))
-    index.drop_runs()
-    out = T.StructType([*(docs.schema[c] for c in carry), T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept", T.StringType())])
+    # What is carried travels in one column, so that no name can clash.
+    rows = docs.select(F.struct(*carry).alias("_row"), ids.alias("_id"), F.col("text").alias("_text"), turn.alias("_turn"))
+    # Rows of one doc_id, or of none, are dealt over the blocks by their text.
+    rows = rows.withColumn("_block", F.col("_turn") * F.lit(n).cast("long") + block_of(F.xxhash64("_id", "_text"), n))
+    index = (FingerprintIndex.open(spark, index_dir) if index_dir else None) or FingerprintIndex(spark, n_buckets(n))
+    try:
+        for i in range(len(cuts) + 1):
+            index.add(rows.where(F.col("_turn") == i).select("_block", "_id", "_text"))
+        if index_dir:
+            index.save(index_dir)
+    finally:
+        index.drop_runs()
+    out = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept", T.StringType())])
     names = pa.schema([("_n_words", pa.int64()), ("_n_removed", pa.int64()), ("_kept", pa.string())])
-    texts = rows.select("_block", "_id", "_text", *carry).groupBy("_block")
-    return texts.cogroup(index.answers().groupBy("_block")).applyInArrow(remove(carry, names), out)
+    done = rows.groupBy("_block").cogroup(index.answers().groupBy("_block")).applyInArrow(remove(["_row"], names), out)
+    return done.select(*[F.col("_row")[c].alias(c) for c in carry], "_n_words", "_n_removed", "_kept")
+
+
+def n_buckets(n_blocks: int) -> int:
+    return min(n_blocks, MAX_BUCKETS)
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +324,6 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
-
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

@@ -56,3 +56,37 @@ def test_empty_table(spark):
     assert substring.dedup(awkward(spark).limit(0)).count() == 0
 
 
+def test_hash_collisions_remove_nothing(spark):
+    """Two words whose polynomial hashes modulo 2^64 agree for any base."""
+    order = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[x ^ k] for x in order) for k in (0, 1))
+    rows = [(i, " ".join(["w%d" % k for k in range(6)] + [word] + ["v%d" % k for k in range(6)])) for i, word in ((1, one), (2, other), (3, one))]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["_n_removed"]) for r in got.collect()) == [(1, 0), (2, 0), (3, 13)]
+
+
+def test_buckets_stay_below_what_spark_takes(spark):
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    assert substring.n_buckets(10) == 10 and substring.n_buckets(100_001) < most and substring.n_buckets(10**9) < most
+
+
+def test_carried_columns_may_have_any_name(spark):
+    text = " ".join(f"c{i}" for i in range(20))
+    names = ["_id", "_text", "_block", "_turn", "_kept", "_n_removed", "_row"]
+    docs = spark.createDataFrame([(1, text, *[f"{n}1" for n in names]), (2, text, *[f"{n}2" for n in names]), (None, None, *[None] * 7)], f"doc_id long, text string, {', '.join(n + ' string' for n in names)}")
+    got = substring.dedup(docs, carry=docs.columns)
+    assert got.columns == [*docs.columns, "_n_words", "_n_removed", "_kept"]
+    rows = {r[0]: r for r in got.collect()}
+    assert rows[2][2:9] == tuple(f"{n}2" for n in names) and rows[2][10] == 20 and rows[1][10] == 0
+
+
+def test_a_later_job_goes_on_from_a_saved_index(spark, tmp_path):
+    text = " ".join(f"s{i}" for i in range(30))
+    folder = f"file://{tmp_path}/index"
+    schema = "doc_id long, text string"
+    first = substring.dedup(spark.createDataFrame([(1, text), (2, "short")], schema), index_dir=folder)
+    assert {r["doc_id"]: r["_n_removed"] for r in first.collect()} == {1: 0, 2: 0}
+    for job in (3, 4):
+        later = substring.dedup(spark.createDataFrame([(job, f"new{job} {text}")], schema), index_dir=folder)
+        assert {r["doc_id"]: (r["_n_words"], r["_n_removed"]) for r in later.collect()} == {job: (31, 30)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("paperloom_")]
