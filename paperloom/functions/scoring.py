@@ -79,7 +79,7 @@ def rank_score() -> str:
 
 def quality_hint() -> str:
     cite = "least(10.0e0 * ln(1 + citations) / ln(1001), 10.0e0)"
-    return f"CASE WHEN {rank_score()} > 0 THEN 0.7e0 * {rank_score()} + 0.3e0 * {cite} ELSE {cite} END"
+    return two_places(f"CASE WHEN {rank_score()} > 0 THEN 0.7e0 * {rank_score()} + 0.3e0 * {cite} ELSE {cite} END")
 
 
 def completeness(d: Spark) -> str:
@@ -118,9 +118,17 @@ def hot(d: Spark) -> str:
     return f"least(2.5e0 * {d.size(d.filter('tags', f'x IN ({", ".join(map(d.text, R.HOT_TAGS))})'))}, 10.0e0)"
 
 
+def two_places(x: str) -> str:
+    """Half up; to six places first, so that ties don't hang on the order of additions, and in integers, as engines round doubles differently."""
+    return f"floor((CAST(round(({x}) * 1000000) AS bigint) + 5000) / 10000.0e0) / 100.0e0"
+
+
+def one_place(x: str) -> str:
+    return f"floor((CAST(round(({x}) * 100) AS bigint) + 5) / 10.0e0) / 10.0e0"
+
+
 def clamped(raw: str) -> str:
-    # The sum is brought to six places first, so that ties don't hang on the order of additions.
-    return f"round(round(least(greatest({raw}, 0.0e0), 10.0e0), 6), 2)"
+    return two_places(f"least(greatest({raw}, 0.0e0), 10.0e0)")
 
 
 #: Weights of paper_score: as configured (sum 1.25) and as built in (sum 1.00).

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..rules.tables import STOP_WORDS
 from .dialect import Spark
 
 #: Tokens of the recommender: a letter, then at least two letters, digits, + or -.
@@ -27,7 +28,8 @@ def venue_id(d: Spark, x: str) -> str:
 
 
 def tokens(d: Spark, x: str) -> str:
-    return d.filter(d.all(f"lower({x})", TOKEN, exact=True), f"{d.chars('x')} <= 32")
+    stop = ", ".join(map(d.text, STOP_WORDS))
+    return d.filter(d.all(f"lower({x})", TOKEN, exact=True), f"{d.chars('x')} <= 32 AND x NOT IN ({stop})")
 
 
 def first_sentences(d: Spark, x: str, n: int) -> str:

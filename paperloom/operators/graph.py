@@ -7,15 +7,20 @@ from pyspark.sql import DataFrame
 
 #: Edges kept in all and at each paper.
 MAX_EDGES, PER_PAPER = 1_600, 5
+#: Most edges taken: 75 papers have 2,775.
+MAX_INPUT = 100_000
 
 
 def limit_edges(edges: DataFrame, max_edges: int = MAX_EDGES, per_paper: int = PER_PAPER) -> DataFrame:
     """Greedy by weight, then ends: an edge ``s, t, weight`` stays while neither end has ``per_paper`` edges.
 
     Whether an edge stays depends on all heavier ones, so this is one group; the
-    graph it caps has at most 75 papers, hence at most 2,775 edges.
+    graph it caps has at most 75 papers, and more than MAX_INPUT edges are refused.
     """
 
+    if (n := edges.limit(MAX_INPUT + 1).count()) > MAX_INPUT:
+        raise ValueError(f"more than {MAX_INPUT} edges; {n} read")
+
     def cap(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["weight", "s", "t"], ascending=[False, True, True])
         used: dict[str, int] = {}

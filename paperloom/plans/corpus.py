@@ -123,7 +123,17 @@ def why(d: Spark) -> str:
 
 
 def hook(d: Spark) -> str:
-    return f"concat({d.text(R.HOOK_DEFAULT[0])}, coalesce({first_tag(d)}, '_default'), {d.text(R.HOOK_DEFAULT[1])})"
+    def told(text: str, value: str) -> str:
+        before, found, after = text.partition("{}")
+        return f"concat({d.text(before)}, {value}, {d.text(after)})" if found else d.text(text)
+
+    named = " ".join(f"WHEN {d.text(t)} THEN {told(x, 'lower(title)')}" for t, x in R.HOOKS.items())
+    first = f"coalesce({first_tag(d)}, '_default')"
+    return f"CASE {first} {named} ELSE {told(R.HOOK_DEFAULT, first)} END"
+
+
+def url() -> str:
+    return "coalesce(nullif(paper_url, ''), pdf_url, '')"
 
 
 def one_liner(d: Spark) -> str:
@@ -136,10 +146,13 @@ simple("content_key_contribution", "content", lambda d: f"pos, {contribution(d)}
 simple("content_why_hook", "content", lambda d: f"pos, {why(d)} AS why_it_matters, {hook(d)} AS hook")
 simple("content_caveat", "content", lambda d: f"pos, {caveat(d)} AS biggest_caveat")
 simple("content_read_this_if", "content", lambda d: f"pos, concat('Read this if you are ', CASE difficulty_level WHEN 'L1' THEN 'a beginner' WHEN 'L2' THEN 'familiar with ML' WHEN 'L3' THEN 'an advanced practitioner' WHEN 'L4' THEN 'a researcher at the frontier' ELSE 'interested in AI' END, ' and want to understand recent progress in ', coalesce({first_tag(d)}, 'this area'), '.') AS read_this_if")
-simple("content_tweet", "content", lambda d: f"pos, concat('1/ ', {hook(d)}, {NL}, '2/ Key finding: ', {one_liner(d)}, {NL}, '3/ Why it matters: ', {why(d)}, {NL}, '4/ Main caveat: ', {caveat(d)}, {NL}, '5/ Paper: ', title, {NL}, 'Authors: ', {d.join(d.slice('authors', 3), ', ')}, CASE WHEN {d.size('authors')} > 3 THEN ' et al.' ELSE '' END, {NL}, paper_url) AS tweet_thread")
-simple("content_linkedin", "content", lambda d: f"pos, concat({hook(d)}, {NL}, {why(d)}, {NL}, 'Key contribution: ', {one_liner(d)}, {NL}, 'Read the paper: ', title, {NL}, {d.join(d.map(d.slice('tags', 4), "concat('#', replace(replace(x, ' ', ''), '/', ''))"), ' ')}) AS linkedin_post")
-simple("content_newsletter", "content", lambda d: f"pos, concat('**', title, '** (', venue, ', ', CAST(year AS string), ')', {NL}, {d.join(d.slice('sentences', 2), ' ')}, {NL}, '*Why it matters:* ', {why(d)}, {NL}, '[Read the paper](', paper_url, ')') AS newsletter_blurb")
-simple("content_video", "content", lambda d: f"pos, concat('## Video Script Outline: ', title, {NL}, '**Hook:** ', {hook(d)}, {NL}, '**Problem:** ', {caveat(d)}, {NL}, '**Solution:** ', {contribution(d)}, {NL}, '**Key result:** ', {one_liner(d)}) AS video_script")
+BLANK = "chr(10), chr(10)"
+simple("content_reason", "scored", lambda d: f"""pos, concat('Content potential ', CAST(CAST({S.one_place('content_score')} AS decimal(4, 1)) AS string), '/10 — ', coalesce(nullif({d.join(d.filter(d.array("CASE WHEN surprise >= 6 THEN 'surprising or unexpected results' END", "CASE WHEN practical_value >= 6 THEN 'clear practical applications' END", "CASE WHEN topic_centrality >= 7 THEN 'hot topic right now' END"), "x IS NOT NULL"), ', ')}, ''), 'solid but not especially viral'), '.') AS reason""")
+simple("content_tweet", "content", lambda d: f"pos, concat('🧵 1/ ', {hook(d)}, {BLANK}, '2/ Key finding: ', {one_liner(d)}, {BLANK}, '3/ Why it matters: ', {why(d)}, {BLANK}, '4/ Main caveat: ', {caveat(d)}, {BLANK}, '5/ Paper: ', title, {NL}, 'Authors: ', {d.join(d.slice('authors', 3), ', ')}, CASE WHEN {d.size('authors')} > 3 THEN ' et al.' ELSE '' END, {NL}, {url()}) AS tweet_thread")
+simple("content_linkedin", "content", lambda d: f"pos, concat({hook(d)}, {BLANK}, {why(d)}, {BLANK}, 'Key contribution: ', {one_liner(d)}, {BLANK}, 'Read the paper: ', title, {NL}, {url()}, {BLANK}, {d.join(d.map(d.slice('tags', 4), "concat('#', replace(replace(x, ' ', ''), '/', ''))"), ' ')}) AS linkedin_post")
+simple("content_newsletter", "content", lambda d: f"pos, concat('**', title, '** (', CASE WHEN coalesce(venue, '') <> '' THEN concat(venue, ', ') ELSE '' END, CAST(year AS string), ')', {BLANK}, {d.join(d.slice('sentences', 2), ' ')}, {BLANK}, '*Why it matters:* ', {why(d)}, {BLANK}, '[Read the paper →](', {url()}, ')') AS newsletter_blurb")
+simple("content_video", "content", lambda d: f"""pos, concat('## Video Script Outline: ', title, {BLANK}, '**Hook (0–15s):** ', {hook(d)}, {BLANK}, '**Problem (15–45s):** What gap does this paper address?', {NL}, {caveat(d)}, {BLANK}, '**Solution (45–90s):** ', {contribution(d)}, {BLANK},
+      '**Why it matters (90–120s):** ', {why(d)}, {BLANK}, '**Key result (120–150s):** ', {one_liner(d)}, {BLANK}, '**Caveats (150–180s):** ', {caveat(d)}, {BLANK}, '**Call to action (180–210s):** Read the full paper and try it yourself.', {NL}, 'Link: ', {url()}) AS video_script""")
 
 # --- topics ---
 
@@ -157,12 +170,16 @@ def topic_trend(d: Spark) -> str:
     return f"{chain(d, 'topics')}\nSELECT tag, n, n_recent, trend_score FROM ({_topic_sums(d)}) t ORDER BY trend_score DESC, n DESC, tag"
 
 
+def topic_keywords(d: Spark) -> str:
+    return "CASE tag " + " ".join(f"WHEN {d.text(t)} THEN {d.text('|'.join(x))}" for t, x in R.TOPIC_KEYWORDS.items()) + " ELSE lower(tag) END"
+
+
 @query
 def topic_agg(d: Spark) -> str:
     levels = "CASE tag " + " ".join(f"WHEN {d.text(t)} THEN '{x}'" for t, x in R.TOPIC_LEVELS.items()) + " ELSE 'L2' END"
     needs = "CASE tag " + " ".join(f"WHEN {d.text(t)} THEN {d.text('|'.join(x))}" for t, x in R.PREREQUISITES.items()) + " ELSE '' END"
     return f"""{chain(d, 'topics')}
-    SELECT tag, {T.topic_slug(d, 'tag')} AS topic_id, count(*) AS n, {levels} AS level, {needs} AS prerequisites, {_flat(d, d.slice(d.gather('id', '-paper_score', 'pos'), 10))} AS first_ids FROM topics GROUP BY tag"""
+    SELECT tag, {T.topic_slug(d, 'tag')} AS topic_id, count(*) AS n, {levels} AS level, {needs} AS prerequisites, {topic_keywords(d)} AS keywords, {_flat(d, d.slice(d.gather('id', '-paper_score', 'pos'), 10))} AS first_ids FROM topics GROUP BY tag"""
 
 
 def _pack(levels: str, score: str) -> Query:
@@ -191,9 +208,15 @@ def topic_gap_summary(d: Spark) -> str:
 # --- gaps ---
 
 
+def _ideas() -> dict[str, list[str]]:
+    """Starter ideas by tag, short names included."""
+    return R.STARTERS | {short: R.STARTERS[name] for short, name in R.STARTER_ALIASES.items()}
+
+
 def starter(d: Spark, tags: str) -> str:
-    named = d.at(d.filter(tags, f"x IN ({', '.join(map(d.text, R.STARTERS))})"), 1)
-    return "CASE " + named + " " + " ".join(f"WHEN {d.text(t)} THEN {d.text(x[0])}" for t, x in R.STARTERS.items()) + f" ELSE {d.text(R.STARTER_DEFAULT)} END"
+    ideas = _ideas()
+    named = d.at(d.filter(tags, f"x IN ({', '.join(map(d.text, ideas))})"), 1)
+    return "CASE " + named + " " + " ".join(f"WHEN {d.text(t)} THEN {d.text(x[0])}" for t, x in ideas.items()) + f" ELSE {d.text(R.STARTER_DEFAULT)} END"
 
 
 def _explicit(d: Spark) -> str:
@@ -218,9 +241,9 @@ def _pattern(d: Spark) -> str:
 
 
 def _starter(d: Spark) -> str:
-    ideas = "CASE tag " + " ".join(f"WHEN {d.text(t)} THEN {d.texts(x[:2])}" for t, x in R.STARTERS.items()) + " END"
+    ideas = "CASE tag " + " ".join(f"WHEN {d.text(t)} THEN {d.texts(x[:2])}" for t, x in _ideas().items()) + " END"
     return f"""SELECT 'starter' AS gap_type, tag AS topic, concat('Starter idea: ', idea) AS title, concat('Beginner-friendly research direction in ', tag, '. Based on ', CAST(n AS string), ' tracked papers in this area. Idea: ', idea) AS description, n AS frequency, 0.7e0 AS confidence, idea
-      FROM (SELECT tag, n, {d.explode(ideas)} AS idea FROM (SELECT tag, count(*) AS n FROM topics WHERE tag IN ({', '.join(map(d.text, R.STARTERS))}) GROUP BY tag) t) s"""
+      FROM (SELECT tag, n, {d.explode(ideas)} AS idea FROM (SELECT tag, count(*) AS n FROM topics WHERE tag IN ({', '.join(map(d.text, _ideas()))}) GROUP BY tag) t) s"""
 
 
 QUERIES["gap_explicit"] = lambda d: f"{chain(d, 'topics')}\n{_explicit(d)}"
@@ -297,19 +320,23 @@ def university_momentum(d: Spark) -> str:
 
 # --- rankings, exports, statistics ---
 
-simple("editorial_top5", "scored", lambda d: "id, title, paper_score", "WHERE venue = 'arXiv' ORDER BY paper_score DESC, pos LIMIT 5")
-simple("editorial_underrated", "scored", lambda d: "id, title, paper_score, citations", "WHERE venue = 'arXiv' AND paper_score >= 5 AND citations <= 10 ORDER BY paper_score DESC, pos LIMIT 1")
+POOL = "coalesce(venue, '') IN ('arXiv', 'Unknown', '')"
+simple("editorial_top5", "scored", lambda d: "id, title, paper_score", f"WHERE {POOL} ORDER BY paper_score DESC, pos LIMIT 5")
+simple("editorial_underrated", "scored", lambda d: "id, title, paper_score, citations", f"WHERE {POOL} AND paper_score >= 5 AND citations <= 10 ORDER BY paper_score DESC, pos LIMIT 1")
 QUERIES["editorial_breakout"] = lambda d: author_momentum(d).replace("SELECT author_id, CAST(n_recent", "SELECT author_id, CAST(n_recent", 1) + " ORDER BY momentum DESC, author_id LIMIT 1"
 QUERIES["editorial_rising_lab"] = lambda d: lab_momentum(d) + " ORDER BY momentum DESC, lab LIMIT 1"
 QUERIES["editorial_trend"] = lambda d: f"{chain(d, 'topics')}\nSELECT tag, trend_score FROM ({_topic_sums(d)}) t ORDER BY trend_score DESC, n DESC, tag LIMIT 1"
 QUERIES["editorial_gap"] = lambda d: f"{_gaps(d)}\nSELECT gap_id, topic, title FROM best WHERE rn = 1 AND gap_type = 'explicit' AND confidence >= 0.7 ORDER BY frequency DESC, topic LIMIT 1"
-QUERIES["stats_by_dimension"] = lambda d: f"{chain(d, 'levelled')}\n" + " UNION ALL ".join(f"SELECT '{x}' AS dimension, CAST({x} AS string) AS key, count(*) AS n FROM levelled GROUP BY {x}" for x in ("venue", "source", "difficulty_level", "paper_type", "year"))
-simple("search_index", "scored", lambda d: f"id, title, left(abstract, 300) AS abstract, {_flat(d, d.slice('authors', 5))} AS authors, {_flat(d, d.slice('tags', 5))} AS tags, round(paper_score, 1) AS score, year, venue, difficulty_level")
+_DIMENSIONS = ("venue", "source", "difficulty_level", "paper_type", "year")
+QUERIES["stats_by_dimension"] = lambda d: f"""{chain(d, 'levelled')}, dealt AS (SELECT {', '.join(_DIMENSIONS)}, {d.explode(d.array(*map(d.text, _DIMENSIONS)))} AS dimension FROM levelled),
+    keyed AS (SELECT dimension, CASE dimension {' '.join(f"WHEN '{x}' THEN CAST({x} AS string)" for x in _DIMENSIONS)} END AS key FROM dealt) SELECT dimension, key, count(*) AS n FROM keyed GROUP BY dimension, key"""
+simple("search_index", "scored", lambda d: f"id, title, left(abstract, 300) AS abstract, {_flat(d, d.slice('authors', 5))} AS authors, {_flat(d, d.slice('tags', 5))} AS tags, {S.one_place('paper_score')} AS score, year, venue, difficulty_level")
 simple("slim_export", "scored", lambda d: "id, title, year, venue, source, paper_url, citations, difficulty_level, paper_type, paper_score, read_first_score", "ORDER BY paper_score DESC, pos LIMIT 7500")
 QUERIES["top_authors_export"] = lambda d: author_momentum(d) + " ORDER BY momentum DESC, author_id LIMIT 5000"
 simple("top_papers", "scored", lambda d: "id, paper_score", "ORDER BY paper_score DESC, pos LIMIT 500")
 simple("conference_papers", "scored", lambda d: "id, venue, paper_score", "WHERE source <> 'arxiv' ORDER BY paper_score DESC, pos LIMIT 5000")
-simple("browse_filter_page", "scored", lambda d: "id, title, paper_score, count(*) OVER () AS n_all", "WHERE (title ILIKE '%learning%' OR abstract ILIKE '%learning%') AND difficulty_level = 'L2' AND source = 'arxiv' ORDER BY paper_score DESC, pos LIMIT 25 OFFSET 5")
+QUERIES["browse_filter_page"] = lambda d: f"""{chain(d, 'scored')}, hits AS (SELECT id, title, paper_score, pos FROM scored WHERE (title ILIKE '%model%' OR abstract ILIKE '%model%') AND difficulty_level IN ('L2', 'L3')),
+    n AS (SELECT count(*) AS n_all FROM hits), page AS (SELECT * FROM hits ORDER BY paper_score DESC, pos LIMIT 25 OFFSET 5) SELECT id, title, paper_score, n_all FROM page CROSS JOIN n"""
 simple("browse_tag_synonyms", "scored", lambda d: "id, paper_score", "WHERE cardinality(tags) > 0")
 QUERIES["browse_tag_synonyms"] = lambda d: f"{chain(d, 'scored')}\nSELECT id, paper_score FROM scored WHERE {d.overlap('tags', d.texts(['LLMs', 'Large Language Models']))}"
 simple("quick_search", "scored", lambda d: "id, title, venue, year, paper_score", "WHERE title ILIKE '%diffusion%' OR abstract ILIKE '%diffusion%' ORDER BY paper_score DESC, pos LIMIT 5")
@@ -368,17 +395,27 @@ QUERIES["tokenise"] = lambda d: f"{_tokens(d)}\nSELECT pos, {d.size('ws')} AS n,
 QUERIES["term_counts"] = lambda d: f"{_tokens(d)}\nSELECT venue, term, count(*) AS n FROM terms GROUP BY venue, term"
 
 
+def _bigrams(d: Spark) -> str:
+    if d.name == "spark":
+        return "CASE WHEN size(ws) < 2 THEN cast(array() as array<string>) ELSE transform(sequence(0, size(ws) - 2), i -> concat(ws[i], ' ', ws[i + 1])) END"
+    return "list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])"
+
+
 @query
 def bigram_counts(d: Spark) -> str:
-    pairs = "transform(sequence(0, size(ws) - 2), i -> concat(ws[i], ' ', ws[i + 1]))" if d.name == "spark" else "list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])"
-    return f"{_tokens(d)}, pairs AS (SELECT venue, {d.explode(pairs)} AS g FROM tokens WHERE {d.size('ws')} >= 2)\nSELECT venue, g, count(*) AS n FROM pairs WHERE split_part(g, ' ', 1) <> split_part(g, ' ', 2) GROUP BY venue, g"
+    return f"{_tokens(d)}, pairs AS (SELECT venue, {d.explode(_bigrams(d))} AS g FROM tokens WHERE {d.size('ws')} >= 2)\nSELECT venue, g, count(*) AS n FROM pairs WHERE split_part(g, ' ', 1) <> split_part(g, ' ', 2) GROUP BY venue, g"
 
 
 @query
 def tfidf_profile(d: Spark) -> str:
-    """Sublinear tf, smooth idf, unit length for each paper, summed by venue and scaled to the venue's largest weight."""
-    return f"""{_tokens(d)}, tf AS (SELECT pos, venue, term, 1 + ln(count(*)) AS tf FROM terms GROUP BY pos, venue, term), n AS (SELECT count(*) AS n FROM papers),
-    df AS (SELECT term, count(*) AS df, sum(tf) AS w FROM tf GROUP BY term), vocabulary AS (SELECT term, df FROM df CROSS JOIN n WHERE df <= 0.92 * n ORDER BY df DESC, term LIMIT 4000),
+    """Words and word pairs of the 250 best papers of a venue: sublinear tf, smooth idf, unit length for each paper, summed by venue and scaled to the venue's largest weight.
+
+    The vocabulary is the 4,000 terms of most occurrences, without those in more than 92 of 100 papers.
+    """
+    return f"""{chain(d, 'scored')}, documents_of AS (SELECT pos, venue FROM (SELECT pos, venue, row_number() OVER (PARTITION BY venue ORDER BY paper_score DESC, year DESC, pos) AS rn FROM scored) r WHERE rn <= 250),
+    tokens AS (SELECT papers.pos, papers.venue, {T.tokens(d, S.TEXT)} AS ws FROM papers JOIN documents_of ON papers.pos = documents_of.pos), terms AS (SELECT pos, venue, {d.explode(d.concat('ws', _bigrams(d)))} AS term FROM tokens),
+    tf AS (SELECT pos, venue, term, count(*) AS c, 1 + ln(count(*)) AS tf FROM terms GROUP BY pos, venue, term), n AS (SELECT count(*) AS n FROM documents_of),
+    df AS (SELECT term, count(*) AS df, sum(c) AS c FROM tf GROUP BY term), vocabulary AS (SELECT term, df FROM df CROSS JOIN n WHERE df <= 0.92 * n ORDER BY c DESC, term LIMIT 4000),
     weighed AS (SELECT pos, venue, tf.term, tf * (ln((1 + n) * 1.0e0 / (1 + df)) + 1) AS w FROM tf JOIN vocabulary v ON tf.term = v.term CROSS JOIN n),
     norms AS (SELECT pos, sqrt(sum(w * w)) AS l FROM weighed GROUP BY pos), sums AS (SELECT venue, term, sum(w / l) AS w FROM weighed JOIN norms ON weighed.pos = norms.pos GROUP BY venue, term),
     tops AS (SELECT venue, max(w) AS m FROM sums GROUP BY venue),
@@ -395,27 +432,6 @@ def draft_quality(d: Spark) -> str:
     return f"""{_tokens(d)} SELECT tokens.pos, CASE WHEN {d.chars(S.TEXT)} < 80 THEN 'too short' WHEN {d.size('ws')} < 35 THEN 'too few words' WHEN {uniq} < 18 THEN 'too repetitive' ELSE 'ok' END AS verdict FROM tokens JOIN papers ON tokens.pos = papers.pos"""
 
 
-# --- graph ---
-
-QUERIES["graph_topic_paper"] = lambda d: f"{chain(d, 'topics')}\nSELECT {T.topic_slug(d, 'tag')} AS src, id AS dst, round(1.0e0 + CASE WHEN difficulty_level IN ('L1', 'L2') THEN 0.5e0 ELSE 0.7e0 END, 6) AS weight FROM topics"
-QUERIES["graph_nodes"] = lambda d: f"{chain(d, 'topics')}\nSELECT 'topic' AS kind, {T.topic_slug(d, 'tag')} AS node, count(*) AS size FROM topics GROUP BY tag UNION ALL SELECT 'paper', id, {d.size('tags')} FROM scored"
-QUERIES["graph_topic_topic"] = lambda d: f"""{chain(d, 'topics')}, kept AS (SELECT tag, count(*) AS n FROM topics GROUP BY tag ORDER BY n DESC, tag LIMIT 30), rows AS (SELECT topics.tag, pos, n FROM topics JOIN kept ON topics.tag = kept.tag),
-    shared AS (SELECT a.tag AS s, b.tag AS t, count(*) AS k, max(a.n) AS na, max(b.n) AS nb FROM rows a JOIN rows b ON a.pos = b.pos AND a.tag < b.tag GROUP BY a.tag, b.tag)
-    SELECT s, t, round(4.0e0 * k / (na + nb - k), 6) AS weight FROM shared WHERE 4.0e0 * k / (na + nb - k) >= 0.7"""
-
-
-@query
-def graph_paper_paper(d: Spark) -> str:
-    """Candidates share a tag, author or venue among the first 140 of each posting list; then the pair is scored whole."""
-    union = f"SELECT 'tag' AS kind, lower(x) AS k, id FROM (SELECT {d.explode('tags')} AS x, id FROM top) a UNION ALL SELECT 'author', lower(x), id FROM (SELECT {d.explode('authors')} AS x, id FROM top) b UNION ALL SELECT 'venue', lower(venue), id FROM top"
-    both = {"spark": "size(array_intersect(a.{0}, b.{0}))", "duck": "len(list_intersect(a.{0}, b.{0}))"}[d.name]
-    score = f"1.4e0 * {both.format('tags')} + 2.5e0 * {both.format('authors')} + CASE WHEN a.venue = b.venue THEN 0.8e0 ELSE 0e0 END + CASE WHEN a.paper_type = b.paper_type THEN 0.5e0 ELSE 0e0 END + CASE WHEN a.difficulty_level = b.difficulty_level THEN 0.3e0 ELSE 0e0 END + CASE WHEN a.year = b.year THEN 0.6e0 WHEN abs(a.year - b.year) <= 2 THEN 0.3e0 ELSE 0e0 END"
-    return f"""{chain(d, 'scored')}, top AS (SELECT id, tags, authors, venue, paper_type, difficulty_level, year FROM scored ORDER BY paper_score DESC, pos LIMIT 75), postings AS ({union}),
-    capped AS (SELECT kind, k, id FROM (SELECT kind, k, id, row_number() OVER (PARTITION BY kind, k ORDER BY id) AS rn FROM postings) t WHERE rn <= 140),
-    met AS (SELECT DISTINCT x.id AS s, y.id AS t FROM capped x JOIN capped y ON x.kind = y.kind AND x.k = y.k AND x.id < y.id)
-    SELECT s, t, round({score}, 6) AS weight FROM met JOIN top a ON a.id = s JOIN top b ON b.id = t WHERE {score} >= 3.2"""
-
-
 # --- tables beside the corpus: keyed upserts, paging, JSON, modes ---
 
 QUERIES["upsert_latest"] = lambda d: f"SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {d.table('events')}) t WHERE rn = 1"

@@ -92,15 +92,6 @@ def html_parse(d: Spark) -> str:
     return f"SELECT page_id, trim({inner('<title>([^<]*)</title>')}) AS title, {inner('<html lang=\"([a-z]+)\"')} AS lang, {d.size(d.all('html', '<a href=', exact=True))} AS n_links FROM {d.table('pages')}"
 
 
-@query
-def graph_summary(d: Spark) -> str:
-    from .corpus import graph_paper_paper
-
-    edges = graph_paper_paper(d)
-    head, _, tail = edges.rpartition("\n    SELECT s, t,")
-    return f"{head}, edges AS (SELECT s, t,{tail})\nSELECT count(*) AS n_edges, count(DISTINCT s) AS n_sources, round(max(weight), 6) AS heaviest FROM edges"
-
-
 @query
 def similar_papers(d: Spark) -> str:
     """For every paper as a draft: the five accepted papers of its own venue that share most of their 32 main terms and, twice, their tags."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialect import DUCK, Spark
-from .operators.graph import limit_edges
+from .plans import graph
 from .plans import venues as _venues  # noqa: F401  registers its queries
 from .plans.corpus import QUERIES as _SQL
 from .streaming.events import windowed_counts
@@ -17,10 +17,6 @@ def _runner(make: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataF
     return lambda spark, sf_dir: spark.sql(make(Spark(sf_dir)))
 
 
-def _graph_edge_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limit_edges(spark.sql(_SQL["graph_paper_paper"](Spark(sf_dir))))
-
-
 def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -29,9 +25,9 @@ _EVENT_WINDOWS = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) A
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {"graph_edge_limit": _graph_edge_limit, "event_windows": _event_windows}
+    own = graph.QUERIES | {"event_windows": _event_windows}
     return {name: _runner(make) for name, make in _SQL.items()} | own
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: make(DUCK) for name, make in _SQL.items()} | {"event_windows": _EVENT_WINDOWS}
+    return {name: make(DUCK) for name, make in _SQL.items()} | graph.ORACLE_SQL | {"event_windows": _EVENT_WINDOWS}
