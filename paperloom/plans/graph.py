@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialect import DUCK, Spark
+from ..functions.dialect import DUCK
 from ..functions.dialect import quoted as q
 from ..operators import topicgraph as G
 from ..operators.graph import limit_edges
 from ..rules import tables as R
+from ..sources.corpus import corpus
 from .corpus import AS_OF_YEAR, _topic_sums, chain
 from .stage import staged
 
@@ -23,7 +24,7 @@ RELATED = 5
 def scored_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the graph needs of the scored papers, written once."""
     columns = "pos, id, title, tags, authors, venue, source, year, paper_type, difficulty_level, paper_score, read_first_score"
-    return staged(spark.sql(f"{chain(Spark(sf_dir), 'scored')} SELECT {columns} FROM scored"), "graph-papers")
+    return staged(spark.sql(f"{chain(corpus(spark, sf_dir), 'scored')} SELECT {columns} FROM scored"), "graph-papers")
 
 
 def _of(table: dict, tag: Column, otherwise: Column) -> Column:

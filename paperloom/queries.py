@@ -10,11 +10,12 @@ from .functions.dialect import DUCK, Spark
 from .plans import graph
 from .plans import venues as _venues  # noqa: F401  registers its queries
 from .plans.corpus import QUERIES as _SQL
+from .sources.corpus import corpus
 from .streaming.events import windowed_counts
 
 
 def _runner(make: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: spark.sql(make(Spark(sf_dir)))
+    return lambda spark, sf_dir: spark.sql(make(corpus(spark, sf_dir)))
 
 
 def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

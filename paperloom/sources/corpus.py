@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
 from ..functions.dialect import Spark
 
 TITLES = [
@@ -56,4 +58,16 @@ def papers(d: Spark) -> str:
       CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('https://papers.example.org/', CAST(doc_id AS string), '.pdf') END AS pdf_url,
       CAST(coalesce(n_chars, 0) % 500 AS bigint) AS citations,
       CASE doc_id % 5 WHEN 0 THEN {d.texts(["Machine Learning"])} WHEN 1 THEN {d.texts(["NLP", "Custom Topic"])} WHEN 2 THEN {d.texts(["Computer Vision"])} ELSE {none} END AS tags0
-    FROM (SELECT doc_id, text, n_chars, {body} AS body FROM {d.table('documents')}) docs"""
+    FROM (SELECT {f"/*+ REPARTITION({d.spread}) */ " if d.spread else ""}doc_id, text, n_chars, {body} AS body FROM {d.table('documents')}) docs"""
+
+
+#: Below this size a table is likely to be a row group or two, which are read by as many tasks.
+SMALL_BYTES = 256 << 20
+
+
+def corpus(spark: SparkSession, folder: str) -> Spark:
+    """The dialect over a folder; a small table of documents is dealt over all cores, since the rules cost far more than moving it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/documents.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    small = files.exists(path) and files.getContentSummary(path).getLength() < SMALL_BYTES
+    return Spark(folder, spread=spark.sparkContext.defaultParallelism if small else 0)
