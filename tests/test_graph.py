@@ -8,3 +8,14 @@ def test_heaviest_edges_stay_within_the_cap(spark):
     assert got == {("p1", "p2"), ("p1", "p3"), ("p2", "p3"), ("p4", "p5")}
     assert limit_edges(edges, max_edges=2).count() == 2
     assert limit_edges(edges.limit(0)).count() == 0
+
+
+def test_more_edges_than_a_graph_can_have_are_refused(spark, monkeypatch):
+    import pytest
+
+    from paperloom.operators import graph
+
+    monkeypatch.setattr(graph, "MAX_INPUT", 3)
+    rows = spark.range(4).selectExpr("'a' AS s", "string(id) AS t", "1.0D AS weight")
+    with pytest.raises(ValueError):
+        limit_edges(rows)

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from paperloom.rules.tables import STOP_WORDS
 from paperloom import queries as library
 from paperloom.rules import tables as R
 
@@ -58,4 +59,4 @@ def test_tokens_come_from_the_whole_text(spark, folder):
     kept = rows_of(spark, folder, "tokenise")
     for pos, row in papers(spark, folder).items():
         words = re.findall(r"[a-zA-Z][a-zA-Z0-9+-]{2,}", f"{row['title']} {row['abstract']}".lower())
-        assert kept[pos]["n"] == sum(len(w) <= 32 for w in words)
+        assert kept[pos]["n"] == sum(len(w) <= 32 and w not in STOP_WORDS for w in words)
