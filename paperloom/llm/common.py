@@ -24,10 +24,11 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the cluster names none."""
+    """The folder all executors share; where none is named, one in the warehouse, or a temporary one in local mode."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="paperloom-")
+        local = spark.sparkContext.master.startswith("local")
+        found = "file://" + tempfile.mkdtemp(prefix="paperloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/paperloom-staged"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
