@@ -12,7 +12,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="paperloom-")
+        # One machine alone may use its own disk; a cluster shares its warehouse.
+        local = spark.sparkContext.master.startswith("local")
+        folder = "file://" + tempfile.mkdtemp(prefix="paperloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/paperloom-staged"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/paperloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
