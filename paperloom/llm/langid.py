@@ -9,8 +9,9 @@ a word has one exact code length in each language: the contexts begin anew at
 white space, and a text's length is the sum over its words.  The shortest code
 wins; ties go to the first name.
 
-The trees are trained on SAMPLE_DOCS labelled documents of each language, chosen
-by the hash of doc_id; every text is scored whole.
+The trees are trained on SAMPLE_DOCS labelled documents of each language, on fewer
+of each where that is more than TOTAL_DOCS together, chosen by the hash of doc_id;
+every text is scored whole.
 
 Defined cases: null text or text without a letter is ``und`` with score 0, and so
 is everything when no document can be learned from; repeated rows are judged
@@ -19,6 +20,7 @@ alike; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -26,14 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import table
+from .common import BROADCAST_ROWS, drop_path, staged, table
 
 ORDER = 4
 #: Labelled documents of each language that the trees are trained on.
 SAMPLE_DOCS = 300
-#: More languages than this are refused: each has a tree in every worker.
-MAX_LANGUAGES = 200
+#: Labelled documents of all languages together; with more than TOTAL_DOCS / SAMPLE_DOCS languages each has fewer.
+TOTAL_DOCS = 60_000
 FOLDS = 5
 #: Distinct words remembered by a worker.
 REMEMBERED = 400_000
@@ -72,19 +75,35 @@ def bits(context: bytes, byte: int, tree: Tree) -> float:
         context = context[1:]
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, Tree]:
-    """A tree for each language of the documents outside the held-out fold."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = sorted(r["lang"] for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    trees: dict[str, Tree] = {}
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    for name in names:
-        chosen = [r["doc_id"] for r in known.where(F.col("lang") == name).select("doc_id").orderBy(*order).limit(sample_docs).collect()]
-        tree = trees[name] = {}
-        for row in known.where((F.col("lang") == name) & F.col("doc_id").isin(chosen)).select("text").toLocalIterator():
-            learn(row["text"], tree)
+def _trees(texts: DataFrame) -> DataFrame:
+    """``lang, tree`` (pickled) of ``lang, text``; a worker holds the sample of one language at a time."""
+
+    def each(group: pa.Table) -> pa.Table:
+        tree: Tree = {}
+        for chunk in group.column("text").chunks:
+            for text in chunk:
+                learn(text.as_py(), tree)
+        return pa.table({"lang": group.column("lang").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    return texts.groupBy("lang").applyInArrow(each, "lang string, tree binary")
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, total_docs: int = TOTAL_DOCS) -> dict[str, Tree]:
+    """A tree for each language of the documents outside the held-out fold; a null doc_id is not learned from.
+
+    The sample is drawn by a hash of doc_id, least first, in two passes whatever the
+    number of languages: one for ids, which Spark limits by language before it
+    shuffles, one for their texts.  The workers build the trees.
+    """
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    drawn, path = staged(known.select("lang", "doc_id", F.row_number().over(by_hash).alias("rn")).where(F.col("rn") <= sample_docs), "drawn")
+    share = max(1, min(sample_docs, total_docs // max(1, drawn.where("rn = 1").count())))
+    chosen = drawn.where(F.col("rn") <= share).select("lang", "doc_id").distinct()
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    found = _trees(known.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", "text"))
+    trees = {r["lang"]: pickle.loads(r["tree"]) for r in found.toLocalIterator()}
+    drop_path(docs.sparkSession, path)
     return trees
 
 

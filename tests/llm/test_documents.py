@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontam, langid, quality, sharding, simhash
+from paperloom.llm import common, decontam, langid, quality, sharding, simhash
 from paperloom.llm.graph import components
 
 from . import brute
@@ -101,6 +101,51 @@ def test_language(spark):
     assert scorer.lengths([word])[0].tolist() == pytest.approx(want)
 
 
+def test_language_by_plain_code(spark):
+    """Trees and predictions against counts of the same sample by other code."""
+    docs = awkward(spark, 60)
+    rows = [r for r in docs.collect() if r["lang"] is not None and r["text"] is not None and r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    want = defaultdict(Counter)
+    for r in rows:
+        for word in r["text"].encode().split():
+            coded = b" " + word + b" "
+            want[r["lang"]].update(coded[i - k : i + 1] for i in range(1, len(coded)) for k in range(min(langid.ORDER, i) + 1))
+    trees = langid.train(docs)
+    got = {name: Counter({context + bytes([b]): n for context, seen in tree.items() for b, n in seen.items()}) for name, tree in trees.items()}
+    assert got == {name: c for name, c in want.items() if c or name in got}
+
+    def length(text, tree):
+        out = 0.0
+        for word in text.encode().split():
+            coded = b" " + word + b" "
+            out += sum(langid.bits(coded[max(0, i - langid.ORDER) : i], coded[i], tree) for i in range(1, len(coded)))
+        return out
+
+    able = [r for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"]) and len(r["text"]) < 5000]
+    said = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, trees).collect()}
+    for r in able[:40]:
+        lengths = {name: length(r["text"], tree) for name, tree in trees.items()}
+        assert lengths[said[r["doc_id"]]] == pytest.approx(min(lengths.values()))
+
+
+def test_language_of_many_names(spark):
+    """More languages than the bound holds at full samples: each is still learned, from fewer documents."""
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"), F.concat(F.lit("l"), F.pmod("id", F.lit(250)).cast("string")).alias("lang"))
+    trees = langid.train(docs, sample_docs=5, total_docs=500)
+    assert len(trees) > 240 and all(tree[b" "] in ({ord("w"): 1}, {ord("w"): 2}) for tree in trees.values())
+    hot = docs.withColumn("lang", F.lit("one"))
+    assert langid.train(hot, sample_docs=7)["one"][b" "] == {ord("w"): 7}
+
+
+def test_hot_keys_join_whole(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 900, 0).when(F.col("id") < 990, F.col("id")).cast("long").alias("k"))
+    known = rows.where("k is not null and k <> 905").groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("least"))
+    for how, left in (("inner", 989), ("left", 1000)):
+        got = common.join_by_key(rows, known, "k", 1000, how).collect()
+        assert sorted(r["id"] for r in got) == [i for i in range(1000) if how == "left" or (i < 990 and i != 905)] and len(got) == left
+        assert all(r["least"] == (None if r["k"] in (None, 905) else r["k"]) for r in got)
+
+
 def test_language_without_training(spark):
     rows = langid.predict(awkward(spark, 5), {}).collect()
     assert {r["lang_pred"] for r in rows} == {"und"}
