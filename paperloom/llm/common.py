@@ -19,6 +19,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Largest table, in rows, that is broadcast; callers count before they do.
 BROADCAST_ROWS = 50_000
+#: Keys that are told by broadcast, at most, for each shuffle partition.
+HOT = 4
 
 _left: list[tuple[SparkSession, str]] = []
 
@@ -81,6 +83,20 @@ def words_of(text: Column, pattern: str = WORD_PATTERN) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
+def join_by_key(rows: DataFrame, known: DataFrame, key: str, n_rows: int, how: str = "inner") -> DataFrame:
+    """``rows`` beside ``known``, which has one row of each ``key`` and in ``_n`` how many of ``rows`` have it.
+
+    A key of more than 1 / (HOT x partitions) of all rows is told by broadcast, so its
+    rows stay where they are; there are at most HOT x partitions such keys, whatever
+    the size of the input.  The rest meet by shuffle.
+    """
+    many = F.lit(n_rows / (HOT * shuffle_partitions(rows.sparkSession)))
+    hot, cool = known.where(F.col("_n") > many).drop("_n"), known.where(F.col("_n") <= many).drop("_n")
+    # A null key is in neither table: the anti join leaves it to the second branch.
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool.hint("merge"), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, staged, table
+from .common import BROADCAST_ROWS, join_by_key, staged, table
 from .graph import components
 
 SHINGLE = 3
@@ -125,13 +125,13 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest doc_id reached over links, for every row of ``docs``."""
     found, _ = staged(fingerprints(docs), "fingerprints")
-    classes, _ = staged(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes, _ = staged(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_n")), "classes")
     roots, _ = components(links(classes.select("fp")))
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(named, "root").select("fp", "component_id")
-    classes = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes, _ = staged(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "_n"), "named")
+    return join_by_key(found, classes, "fp", found.count()).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
