@@ -22,7 +22,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, release, shuffle_partitions, staged, table
+from .common import drop_path, join_by_key, release, shuffle_partitions, staged, table
 
 SHARDS = 40
 ROUNDS = 3
@@ -62,20 +62,23 @@ def propagate(linked: DataFrame, n_rows: int, shards: int, rounds: int) -> tuple
         # Shards with room first, then most of the group; a hash breaks ties, or low shards would be asked most.
         has_room = F.get(F.lit([int(h < cap) for h in held]), F.col("shard"))
         rank = F.struct(has_room.alias("r"), "n", F.xxhash64("group", "shard").alias("h"), "shard")
-        best = cells.groupBy("group").agg(F.max(rank).alias("x")).select("group", F.col("x.shard").alias("target"))
+        best = cells.groupBy("group").agg(F.max(rank).alias("x"), F.sum("n").alias("_n")).select("group", F.col("x.shard").alias("target"), "_n")
         wanted = [0] * shards
-        moves = cells.join(best, "group").where("shard <> target").groupBy("shard", "target").agg(F.sum("n").alias("n"))
+        moves = cells.join(best.drop("_n"), "group").where("shard <> target").groupBy("shard", "target").agg(F.sum("n").alias("n"))
         for r in moves.collect():  # shards x shards at most
             wanted[r["target"]] += r["n"]
             held[r["shard"]] -= r["n"]
         room = [min(1.0, max(0, cap - h) / w) if w else 1.0 for h, w in zip(held, wanted)]
-        rows = now.join(best, "group", "left")
+        best, best_path = staged(best, "targets")
+        # Groups larger than a shard have their places by now and don't join.
+        rows = join_by_key(now.where(small), best, "group", n_rows, "left").unionByName(now.where(~small).withColumn("target", F.lit(None).cast("int")))
         goes = _unit("group", "shard", F.lit(turn)) < F.get(F.lit([float(x) for x in room]), F.col("target"))
         shard = F.when(goes, F.col("target")).otherwise(F.col("shard"))
         for group, to in given.items():
             shard = F.when(F.col("group") == group, _pick(to, F.pmod(F.xxhash64("doc_id"), F.lit(len(to))).cast("int"))).otherwise(shard)
         nxt, nxt_path = staged(rows.select("doc_id", "group", shard.cast("int").alias("shard")), "linked")
         drop_path(spark, path)
+        drop_path(spark, best_path)
         now, path = nxt, nxt_path
     return now, [path]
 
