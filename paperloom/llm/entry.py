@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dac, decontam, langid, quality, sharding, simhash, substring, suffix, urls
+from . import bpe, dac, decontam, langid, merkle, quality, sharding, simhash, substring, suffix, urls
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_language": langid.op9_language,
     "op10_shard": sharding.op10_shard,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLE_SQL = {
     "op1_substring": substring.OP1_SQL,
     "op5_decontaminate": decontam.OP5_SQL,
     "op6_quality": quality.OP6_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
