@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dac, decontam, langid, merkle, quality, sharding, simhash, substring, suffix, urls
+from . import bpe, dac, decontam, langid, merkle, negatives, quality, sharding, simhash, substring, suffix, urls
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": langid.op9_language,
     "op10_shard": sharding.op10_shard,
     "op11_merkle": merkle.op11_merkle,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op5_decontaminate": decontam.OP5_SQL,
     "op6_quality": quality.OP6_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
 }
