@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dac, decontam, langid, merkle, negatives, quality, sharding, simhash, substring, suffix, urls
+from . import bpe, dac, decontam, langid, merkle, negatives, packing, quality, sharding, simhash, substring, suffix, urls
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_shard": sharding.op10_shard,
     "op11_merkle": merkle.op11_merkle,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_pack": packing.op13_pack,
 }
 
 ORACLE_SQL = {
