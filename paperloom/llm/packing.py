@@ -87,29 +87,38 @@ class WordEncoder:
         self.held = 0
         self.ids, self.starts = array("I"), array("q", [0])
 
-    def _keep(self, word: str, ids: list[int]) -> None:
-        self.ids.extend(ids)
-        self.known[word] = len(self.starts) - 1
-        self.starts.append(len(self.ids))
-
-    def _letters(self, word: str) -> list[int]:
-        """Ids of one match of the pattern, straight from the library's model."""
-        small = word.lower()
-        return [x.id for x in self.model.tokenize(small if small.isascii() else small.encode().decode("latin-1").translate(self.alphabet))]
-
     def learn(self, words: list[str]) -> None:
-        """Latin letters, alone or with one mark behind them, go to the model; all else to the whole library."""
-        others = []
+        """Latin letters, alone or with one mark behind them, go straight to the library's model; all else to the whole library."""
+        known, ids, starts, tokenize, others = self.known, self.ids, self.starts, self.model.tokenize, []
         for word in words:
-            letters, mark = (word, "") if word[-1:] not in _MARKS else (word[:-1], word[-1])
-            if letters.isalpha() and max(letters) < _LATIN and letters.lower().isalpha():
-                self._keep(word, self._letters(letters) + ([x.id for x in self.model.tokenize(mark)] if mark else []))
+            mark = word[-1:] if word[-1:] in _MARKS else ""
+            letters = word[:-1] if mark else word
+            if not letters.isalpha():
+                others.append(word)
+                continue
+            small = letters.lower()
+            if (at := known.get(small)) is not None:
+                if not mark:
+                    known[word] = at
+                    continue
+                ids.extend(ids[starts[at] : starts[at + 1]])
+            elif letters.isascii():
+                ids.extend([x.id for x in tokenize(small)])
+            elif max(letters) < _LATIN and small.isalpha():
+                ids.extend([x.id for x in tokenize(small.encode().decode("latin-1").translate(self.alphabet))])
             else:
                 others.append(word)
+                continue
+            if mark:
+                ids.extend([x.id for x in tokenize(mark)])
+            known[word] = len(starts) - 1
+            starts.append(len(ids))
         for i in range(0, len(others), 2_000):
             some = others[i : i + 2_000]
             for word, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self._keep(word, found.ids)
+                ids.extend(found.ids)
+                known[word] = len(starts) - 1
+                starts.append(len(ids))
         self.held += sum(map(len, words))
 
     def packed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
