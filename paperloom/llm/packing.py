@@ -10,7 +10,7 @@ largest piece that is left, by fillings that no other filling dominates, those t
 waste least first; as many bins as the counts allow are filled alike.  A branch ends
 when its waste passes what a packing of fewer bins than the incumbent could afford.
 The first incumbent is best fit in descending order; the search stops at the lower
-bound, or after NODES bins, and then keeps the incumbent.
+bound, or after STEPS steps, and then keeps the incumbent.
 
 The pieces find their places by their rank among those of their length: ranks are
 counted by the tasks that write the pieces, and start where the counts of the tasks
@@ -26,7 +26,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,8 +44,8 @@ from .common import BROADCAST_ROWS, staged, table
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 LENGTH = 4096
-#: Bins that the search completes before it keeps the incumbent, fillings it looks at for each, and steps it takes to find them.
-NODES, FILLINGS, STEPS = 4_000, 4, 20_000
+#: Steps that the search takes before it keeps the incumbent, and the share of lengths that are left when it sums up anew.
+STEPS, USED_UP = 2_000_000, 0.9
 #: Characters that are encoded at a time; distinct words, and characters of them, after which a worker forgets.
 CHUNK = 8_000_000
 REMEMBERED, REMEMBERED_CHARS = 1_400_000, 32_000_000
@@ -266,141 +266,124 @@ def best_fit(counts: dict[int, int], size: int) -> tuple[list[Fill], int]:
     return fills, n_bins
 
 
-def fillings(counts: dict[int, int], largest: int, size: int, most_waste: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Undominated ways to complete a bin around ``largest``: (waste, [(length, pieces)]), least waste first.
+class Sums:
+    """What can be made of the lengths that are left: bit s of ``reach[i]`` is set if some pieces of the ``i`` shortest lengths sum to s."""
 
-    A filling is dominated if a piece of it, or two of them, could give way to a
-    larger piece that is left and still fits: the bin would hold more, and the pieces
-    taken out fit wherever the larger one had gone.
+    def __init__(self, left: dict[int, int], size: int) -> None:
+        self.lengths, self.reach, mask = sorted(left), [1], (1 << (size + 1)) - 1
+        for n in self.lengths:
+            now, c, k = self.reach[-1], min(left[n], size // n), 1
+            while c:
+                take = min(k, c)
+                now |= (now << (take * n)) & mask
+                c, k = c - take, k * 2
+            self.reach.append(now)
+
+
+def fillings(left: dict[int, int], sums: Sums, size: int, most_waste: int, steps: list[int]) -> Iterator[tuple[int, dict[int, int]]]:
+    """Undominated ways to fill a bin around the largest piece that is left, as (waste, {length: pieces}), least waste first.
+
+    A filling is dominated if a piece of it, or two of them, or its waste, could give
+    way to a piece that is left, fits and is no shorter in sum: the pieces taken out
+    fit wherever that one had gone.  ``sums`` may come from more pieces than are left.
     """
-    rest = dict(counts)
-    rest[largest] -= 1
+    largest = max(left)
     room = size - largest
-    lengths = sorted((n for n, c in rest.items() if c and n <= room), reverse=True)
-    # reach[i]: bit s is set if some choice of lengths[i:] sums to s.
-    reach, mask = [1], (1 << (room + 1)) - 1
-    for n in reversed(lengths):
-        now, c, k = reach[-1], min(rest[n], room // n), 1
-        while c:
-            take = min(k, c)
-            now |= (now << (take * n)) & mask
-            c, k = c - take, k * 2
-        reach.append(now)
-    reach.reverse()
-    steps = [STEPS]
-
-    def exact(i: int, want: int) -> Iterator[list[tuple[int, int]]]:
-        """Choices of lengths[i:] that sum to ``want``, large lengths and many of them first."""
+    rest = left | {largest: left[largest] - 1}
+    lengths, reach = sums.lengths, sums.reach
+
+    def exact(i: int, want: int) -> Iterator[dict[int, int]]:
+        """Pieces of the ``i`` shortest lengths that sum to ``want``, long ones and many of them first."""
         if want == 0:
-            yield []
+            yield {}
             return
-        for j in range(max(i, bisect_left(lengths, -want, key=lambda n: -n)), len(lengths)):
-            if steps[0] <= 0 or not reach[j] >> want & 1:
+        for j in range(min(i, bisect_right(lengths, want)) - 1, -1, -1):
+            if steps[0] <= 0 or not reach[j + 1] >> want & 1:
                 return
-            steps[0] -= 1
             n = lengths[j]
-            for c in range(min(rest[n], want // n), 0, -1):
-                for more in exact(j + 1, want - c * n):
-                    yield [(n, c), *more]
+            steps[0] -= n in rest
+            for c in range(min(rest.get(n, 0), want // n), 0, -1):
+                for more in exact(j, want - c * n):
+                    yield {n: c} | more
 
     for waste in range(min(room, most_waste) + 1):
-        if reach[0] >> (room - waste) & 1:
-            for found in exact(0, room - waste):
-                if not dominated(dict(found), rest, lengths, waste):
-                    yield waste, [(largest, 1), *found]
+        if reach[-1] >> (room - waste) & 1:
+            for found in exact(len(lengths), room - waste):
+                if not dominated(found, rest, waste, steps):
+                    yield waste, found | {largest: found.get(largest, 0) + 1}
         if steps[0] <= 0:
             return
 
 
-def dominated(filling: dict[int, int], rest: dict[int, int], lengths: list[int], waste: int) -> bool:
-    """Whether a piece that is left could stand for the waste, for a shorter piece of the filling, or for two that are no longer in sum."""
-    spare = sorted(n for n in lengths if rest[n] > filling.get(n, 0))
+def dominated(filling: dict[int, int], rest: dict[int, int], waste: int, steps: list[int]) -> bool:
     chosen = sorted(filling)
-    swaps = [(x, x + 1) for x in (0, *chosen)] + [(a + b, a + b) for i, a in enumerate(chosen) for b in chosen[i:] if a != b or filling[a] > 1]
-    for gone, least in swaps:
-        at = bisect_left(spare, least)
-        if at < len(spare) and spare[at] <= gone + waste:
-            return True
-    return False
+    swaps = [(x, x + 1) for x in (0, *chosen)] if waste else []
+    swaps += [(a + b, a + b) for i, a in enumerate(chosen) for b in chosen[i:] if a != b or filling[a] > 1]
+    steps[0] -= len(swaps) * (waste + 1)
+    return any(rest.get(n, 0) > filling.get(n, 0) for gone, least in swaps for n in range(least, gone + waste + 1))
 
 
-def complete(counts: dict[int, int], size: int, bound: int, incumbent: int, nodes: int = NODES) -> list[tuple[int, list[tuple[int, int]]]] | None:
-    """Bins of a packing of fewer than ``incumbent`` bins, as (how many, [(length, pieces of each)]); None if none was found.
+def complete(counts: dict[int, int], size: int, bound: int, incumbent: int, steps: int = STEPS) -> list[tuple[int, dict[int, int]]] | None:
+    """Bins of a packing of fewer than ``incumbent`` bins, as (how many, {length: pieces in each}); None if none was found.
 
-    Depth first: the bin around the largest piece is completed by one of its FILLINGS
-    best fillings, in as many bins as the counts allow; total waste is bounded by what
-    ``incumbent`` - 1 bins could waste.
+    Depth first: the bin around the largest piece is completed in one of its ways, as
+    many bins as the counts allow; the waste of all bins is bounded by what one bin
+    fewer than the best packing so far could waste.
     """
     total = sum(n * c for n, c in counts.items())
-    best, used = None, 0
     left = {n: c for n, c in counts.items() if c}
-    # A frame: the choices that are left at a bin, the choice taken, the waste before it.
-    frames: list[list] = []
-    waste, bins = 0, 0
+    best, budget, sums = None, [steps], Sums(left, size)
     afford = (incumbent - 1) * size - total
+    # A frame: the ways that are left, the bins filled in the last one and how; waste, bins and sums before it.
+    frames: list[list] = []
+    waste = bins = 0
     descend = True
-    while True:
-        if descend:
-            if not left:
-                best = [(f[1], f[2]) for f in frames]
-                if bins <= bound:
-                    return best
-                afford = (bins - 1) * size - total
-            elif used < nodes and waste <= afford:
-                used += 1
-                largest = max(left)
-                options = []
-                for lost, filling in fillings(left, largest, size, afford - waste):
-                    options.append((lost, filling))
-                    if len(options) == FILLINGS:
-                        break
-                frames.append([options, 0, None, waste, bins])
-        # Take the next choice of the last frame, or go back.
-        while frames:
-            options, many, filling, waste, bins = frames[-1]
-            if filling is not None:
-                for n, c in filling:
-                    left[n] = left.get(n, 0) + many * c
-            if options:
+    while budget[0] > 0:
+        if descend and not left:
+            best = [(f[1], f[2]) for f in frames]
+            afford = (bins - 1) * size - total
+            if bins <= bound:
                 break
-            frames.pop()
-        if not frames:
-            return best
-        lost, filling = options.pop(0)
-        need: dict[int, int] = {}
-        for n, c in filling:
-            need[n] = need.get(n, 0) + c
-        many = min(left[n] // c for n, c in need.items())
-        if lost:
-            many = min(many, (afford - waste) // lost)
-        frames[-1][1:3] = many, filling
-        if many <= 0:
-            frames[-1][2] = None
-            descend = False
-            continue
-        for n, c in need.items():
-            left[n] -= many * c
-            if not left[n]:
-                del left[n]
-        waste, bins, descend = waste + many * lost, bins + many, True
-
-
-def plan(counts: dict[int, int], size: int = LENGTH, nodes: int = NODES) -> tuple[list[Fill], int]:
+        elif descend and waste <= afford:
+            if len(left) < USED_UP * len(sums.lengths):
+                sums = Sums(left, size)
+            frames.append([fillings(left, sums, size, afford - waste, budget), 0, {}, waste, bins, sums])
+        step = None
+        while frames and step is None:
+            ways, many, filling, waste, bins, sums = frames[-1]
+            for n, c in filling.items():
+                left[n] = left.get(n, 0) + many * c
+            frames[-1][1:3] = 0, {}
+            step = next(ways, None)
+            if step is None:
+                frames.pop()
+        if step is None:
+            break
+        lost, filling = step
+        many = min(left[n] // c for n, c in filling.items())
+        many = min(many, (afford - waste) // lost) if lost else many
+        descend = many > 0
+        if descend:
+            frames[-1][1:3] = many, filling
+            for n, c in filling.items():
+                left[n] -= many * c
+                if not left[n]:
+                    del left[n]
+            waste, bins = waste + many * lost, bins + many
+    return best
+
+
+def plan(counts: dict[int, int], size: int = LENGTH, steps: int = STEPS) -> tuple[list[Fill], int]:
     """Fills of all pieces and how many bins there are."""
     fills, n_bins = best_fit(counts, size)
     bound = lower_bound(counts, size)
-    if n_bins <= bound:
-        return fills, n_bins
-    better = complete(counts, size, bound, n_bins, nodes)
+    better = complete(counts, size, bound, n_bins, steps) if n_bins > bound else None
     if better is None:
         return fills, n_bins
     fills, first = [], 0
     for bins, filling in better:
-        need: dict[int, int] = {}
-        for n, c in filling:
-            need[n] = need.get(n, 0) + c
         offset = 0
-        for n, c in need.items():
+        for n, c in filling.items():
             fills.append(Fill(n, first, bins, c, bins * c, offset))
             offset += n * c
         first += bins

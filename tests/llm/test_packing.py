@@ -131,13 +131,16 @@ def test_plans_do_not_grow_with_the_number_of_pieces():
 
 
 def test_fillings_are_undominated():
-    counts = {50: 2, 30: 2, 25: 2, 20: 2, 10: 3}
+    def ways(left, most):
+        return list(packing.fillings(left, packing.Sums(left, 100), 100, most, [1000]))
+
+    left = {50: 2, 30: 2, 25: 2, 20: 2, 10: 3}
     # 30 + 20 and twice 25 give way to the second 50.
-    assert list(packing.fillings(counts, 50, 100, 10)) == [(0, [(50, 1), (50, 1)])]
-    counts[50] = 1
-    assert list(packing.fillings(counts, 50, 100, 4)) == [(0, [(50, 1), (30, 1), (20, 1)]), (0, [(50, 1), (25, 2)])]
+    assert ways(left, 10) == [(0, {50: 2})]
+    left[50] = 1
+    assert ways(left, 4) == [(0, {30: 1, 20: 1, 50: 1}), (0, {25: 2, 50: 1})]
     # 20 + 20 leaves 7 and could hold 25 instead of 20.
-    assert list(packing.fillings({53: 1, 25: 1, 20: 2}, 53, 100, 47)) == [(2, [(53, 1), (25, 1), (20, 1)])]
+    assert ways({53: 1, 25: 1, 20: 2}, 47) == [(2, {25: 1, 20: 1, 53: 1})]
 
 
 def test_empty_table(spark):
