@@ -10,17 +10,22 @@ topic holds all its papers in one row.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import staged
+from .graph import limit_edges
+
 # Weights of what two topics or two papers share, least weights, caps.
 RELATED, PREREQUISITE, PAPERS, KEYWORDS, LEAST_TOPIC_WEIGHT = 3.0, 2.0, 4.0, 2.0, 0.7
 SHARED_TOPIC, SHARED_TAG, SHARED_AUTHOR, SAME_VENUE, SAME_TYPE, SAME_LEVEL = 3.0, 1.4, 2.5, 0.8, 0.5, 0.3
 SAME_YEAR, CLOSE_YEAR, YEARS = 0.6, 0.3, 2
 STARTER, FRONTIER = 0.5, 0.7
 DENSITY = {"focused": (3, 4.2, 900), "balanced": (5, 3.2, 1600), "dense": (8, 2.4, 2500)}  # edges a paper, least weight, edges in all
+RELATIONS = frozenset({"topic-paper", "topic-topic", "prerequisite", "paper-paper"})
 MAX_TOPICS, MAX_PAPERS, POSTING = 30, 75, 140
 LEVELS = {"beginner": "L1", "intermediate": "L2", "advanced": "L3", "frontier": "L4", "l1": "L1", "l2": "L2", "l3": "L3", "l4": "L4"}
 SOURCES = [("acl", "acl"), ("openreview", "openreview"), ("cvf", "cvf"), ("pmlr", "pmlr"), ("arxiv", "arxiv")]
@@ -191,7 +196,7 @@ def nodes(topics: DataFrame, membership: DataFrame, papers: DataFrame) -> DataFr
     return of_topics.unionByName(of_papers)
 
 
-def edges(topics: DataFrame, membership: DataFrame, papers: DataFrame, relations: frozenset[str] = frozenset({"topic-paper", "topic-topic", "prerequisite", "paper-paper"}), density: str = "balanced") -> DataFrame:
+def edges(topics: DataFrame, membership: DataFrame, papers: DataFrame, relations: frozenset[str] = RELATIONS, density: str = "balanced") -> DataFrame:
     """All edges of the relations switched on, before the caps."""
     parts = []
     if "topic-paper" in relations:
@@ -210,3 +215,30 @@ def summary(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     kinds = {"n_topic_paper": ["topic-paper"], "n_topic_topic": ["topic-topic", "prerequisite"], "n_paper_paper": ["paper-paper"]}
     of_edges = edge_rows.agg(F.count(F.lit(1)).alias("n_edges"), *[F.count(F.when(F.col("kind").isin(ks), 1)).alias(n) for n, ks in kinds.items()])
     return of_nodes.join(of_edges)
+
+
+@dataclass(frozen=True)
+class Graph:
+    """What is shown: nodes, capped edges, and one row of figures, hidden papers and edges included."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    stats: DataFrame
+
+
+def assemble(topics: DataFrame, membership: DataFrame, papers: DataFrame, *, relations: frozenset[str] = RELATIONS, density: str = "balanced", max_edges: int | None = None, per_paper: int | None = None, show_papers: bool = True, **filters) -> Graph:
+    """The whole graph of the topics and papers that pass ``filters`` (those of ``select_inputs``).
+
+    An unknown density counts as balanced.  Hidden papers are those of the shown topics
+    that aren't shown, hidden edges those that the caps take.
+    """
+    density = density if density in DENSITY else "balanced"
+    kept, best = select_inputs(topics, membership, papers, **filters)
+    kept, best = staged(kept, "graph-topics"), staged(best if show_papers else best.limit(0), "graph-best")
+    reached = membership.join(kept.select("topic_id"), "topic_id", "left_semi").agg(F.count_distinct("paper_id").alias("reached"))
+    found = staged(edges(kept, membership, best, relations, density), "graph-edges")
+    shown = staged(limit_edges(found, DENSITY[density][2] if max_edges is None else max_edges, DENSITY[density][0] if per_paper is None else per_paper), "graph-shown")
+    node_rows = nodes(kept, membership, best)
+    figures = summary(node_rows, shown).join(reached).join(found.agg(F.count(F.lit(1)).alias("found")))
+    stats = figures.select("*", (F.col("reached") - F.col("n_papers")).alias("n_hidden_papers"), (F.col("found") - F.col("n_edges")).alias("n_hidden_edges")).drop("reached", "found")
+    return Graph(node_rows.orderBy("node_id"), shown.orderBy("edge_id"), stats)

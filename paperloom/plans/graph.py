@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.dialect import DUCK
 from ..functions.dialect import quoted as q
 from ..operators import topicgraph as G
-from ..operators.graph import limit_edges
 from ..rules import tables as R
 from ..sources.corpus import corpus
 from .corpus import AS_OF_YEAR, _topic_sums, chain
@@ -85,13 +84,18 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.nodes(*_inputs(spark, sf_dir))
 
 
+def _assembled(spark: SparkSession, sf_dir: str) -> G.Graph:
+    papers = scored_papers(spark, sf_dir)
+    topics, membership = (staged(x, "graph-tags") for x in topic_tables(papers))
+    return G.assemble(topics, membership, papers)
+
+
 def graph_edge_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limit_edges(graph_paper_paper(spark, sf_dir).select(F.col("source").alias("s"), F.col("target").alias("t"), "weight"))
+    return _assembled(spark, sf_dir).edges.select("edge_id", "kind", "source", "target", "weight")
 
 
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = _inputs(spark, sf_dir)
-    return G.summary(G.nodes(*given), G.edges(*given))
+    return _assembled(spark, sf_dir).stats
 
 
 QUERIES = {f.__name__: f for f in (graph_topic_topic, graph_topic_paper, graph_paper_paper, graph_nodes, graph_edge_limit, graph_summary)}
@@ -135,6 +139,21 @@ def _oracle() -> str:
     kept AS (SELECT source, target, round(w, 2) AS weight FROM pp WHERE round(w, 6) >= 3.2)"""
 
 
+#: The caps as the sequential rule: one edge between papers after the other, with the edges taken so far at each paper.
+_CAPPED = """, every AS MATERIALIZED (SELECT 'edge:topic-paper:' || source[7:] || ':' || target[7:] AS edge_id, kind, source, target, weight FROM tp
+      UNION ALL SELECT 'edge:topic:' || source[7:] || ':' || target[7:], kind, source, target, weight FROM tt
+      UNION ALL SELECT 'edge:paper:' || source[7:] || ':' || target[7:], 'paper-paper', source, target, weight FROM kept),
+    named AS (SELECT 'paper:' || id AS node, row_number() OVER (ORDER BY id) AS i FROM best),
+    queue AS MATERIALIZED (SELECT row_number() OVER (ORDER BY weight DESC, edge_id) AS k, edge_id, x.i AS a, y.i AS b FROM every JOIN named x ON x.node = source JOIN named y ON y.node = target WHERE kind = 'paper-paper'),
+    walk AS (SELECT 0::BIGINT AS k, list_transform(range(75), lambda z: 0) AS used, '' AS edge_id, false AS took
+      UNION ALL SELECT q.k, CASE WHEN used[a] < 5 AND used[b] < 5 THEN list_transform(used, lambda u, i: u + CASE WHEN i IN (a, b) THEN 1 ELSE 0 END) ELSE used END, q.edge_id, used[a] < 5 AND used[b] < 5 FROM walk JOIN queue q ON q.k = walk.k + 1),
+    shown AS (SELECT * FROM every WHERE kind <> 'paper-paper' OR edge_id IN (SELECT edge_id FROM walk WHERE took) ORDER BY weight DESC, edge_id LIMIT 1600)"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH", "WITH RECURSIVE", 1)
+
+
 _PLAIN = "source, target, kind, weight, explanation"
 ORACLE_SQL = {
     "graph_topic_topic": f"{_oracle()} SELECT {_PLAIN} FROM tt",
@@ -142,6 +161,8 @@ ORACLE_SQL = {
     "graph_paper_paper": f"{_oracle()} SELECT source, target, weight FROM kept",
     "graph_nodes": f"""{_oracle()} SELECT 'topic:' || tid AS node_id, 'topic' AS kind, s.tag AS label, coalesce(l, 'L2') AS level, trend_score AS score, (SELECT count(*) FROM member m WHERE m.tid = s.tid) AS size FROM strong s LEFT JOIN levels ON levels.tag = s.tag
       UNION ALL SELECT 'paper:' || id, 'paper', title, difficulty_level, paper_score, (SELECT count(*) FROM member m WHERE m.id = best.id AND m.tid IN (SELECT tid FROM strong)) FROM best""",
-    "graph_summary": f"""{_oracle()} SELECT (SELECT count(*) FROM strong) AS n_topics, (SELECT count(*) FROM best) AS n_papers, (SELECT count(*) FROM tp) + (SELECT count(*) FROM tt) + (SELECT count(*) FROM kept) AS n_edges,
-      (SELECT count(*) FROM tp) AS n_topic_paper, (SELECT count(*) FROM tt) AS n_topic_topic, (SELECT count(*) FROM kept) AS n_paper_paper""",
+    "graph_edge_limit": f"{_recursive(_oracle())}{_CAPPED} SELECT edge_id, kind, source, target, weight FROM shown",
+    "graph_summary": f"""{_recursive(_oracle())}{_CAPPED} SELECT (SELECT count(*) FROM strong) AS n_topics, (SELECT count(*) FROM best) AS n_papers, count(*) AS n_edges, count(*) FILTER (kind = 'topic-paper') AS n_topic_paper,
+      count(*) FILTER (kind IN ('topic-topic', 'prerequisite')) AS n_topic_topic, count(*) FILTER (kind = 'paper-paper') AS n_paper_paper,
+      (SELECT count(DISTINCT id) FROM member WHERE tid IN (SELECT tid FROM strong)) - (SELECT count(*) FROM best) AS n_hidden_papers, (SELECT count(*) FROM every) - count(*) AS n_hidden_edges FROM shown""",
 }
