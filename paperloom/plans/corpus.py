@@ -362,8 +362,6 @@ QUERIES["topic_membership"] = lambda d: f"{chain(d, 'topics')}\nSELECT id, {_fla
 COMPLETENESS = "CASE WHEN abstract <> '' THEN 1 ELSE 0 END + CASE WHEN pdf_url <> '' THEN 1 ELSE 0 END + cardinality(authors) + cardinality(tags0) + CASE WHEN citations > 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(venue, '') NOT IN ('', 'arXiv', 'Unknown') THEN 5 ELSE 0 END + CASE WHEN conference_rank <> '' THEN 3 ELSE 0 END"
 simple("dedup_completeness", "papers", lambda d: f"pos, CAST({COMPLETENESS} AS bigint) AS completeness")
 QUERIES["arxiv_id_extract"] = lambda d: f"{chain(d, 'papers')}\nSELECT pos, {T.arxiv_id(d, 'id', 'paper_url')} AS arxiv_id FROM papers"
-QUERIES["dedup_exact_best"] = lambda d: f"""{chain(d, 'papers')}, keyed AS (SELECT *, coalesce({T.arxiv_id(d, 'id', 'paper_url')}, concat('own:', id)) AS k, {COMPLETENESS} AS c FROM papers)
-    SELECT k, id FROM (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY c DESC, pos) AS rn FROM keyed) t WHERE rn = 1"""
 
 
 def _title_pairs(d: Spark) -> str:

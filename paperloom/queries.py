@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialect import DUCK, Spark
-from .plans import graph
+from .plans import dedup, graph
 from .plans import venues as _venues  # noqa: F401  registers its queries
 from .plans.corpus import QUERIES as _SQL
 from .sources.corpus import corpus
@@ -26,9 +26,9 @@ _EVENT_WINDOWS = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) A
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = graph.QUERIES | {"event_windows": _event_windows}
+    own = graph.QUERIES | dedup.QUERIES | {"event_windows": _event_windows}
     return {name: _runner(make) for name, make in _SQL.items()} | own
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: make(DUCK) for name, make in _SQL.items()} | graph.ORACLE_SQL | {"event_windows": _EVENT_WINDOWS}
+    return {name: make(DUCK) for name, make in _SQL.items()} | graph.ORACLE_SQL | dedup.ORACLE_SQL | {"event_windows": _EVENT_WINDOWS}
