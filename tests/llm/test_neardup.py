@@ -61,3 +61,36 @@ def test_crowded_buckets(spark):
         words[rng.randrange(200)] = f"edit{i}"
         rows.append((i, " ".join(words)))
     assert set(check(spark, rows)[1].values()) == {0}
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Bases with copies just above the threshold, in buckets crowded with relatives just below it."""
+    rng = random.Random(8)
+    rows = []
+    for b in range(2):
+        base = [f"b{b}w{rng.randrange(900)}" for _ in range(300)]
+
+        def edited(n, base=base, b=b):
+            words, step = list(base), 300 // n
+            for k in range(n):
+                words[k * step + rng.randrange(step // 2)] = f"e{b}x{rng.randrange(10**9)}"
+            return " ".join(words)
+
+        for i in range(1 + 8 + 60):
+            doc_id = 1000 * b + i
+            rows.append((doc_id, " ".join(base) if i == 0 else edited(6 if i <= 8 else 18)))
+    docs, want, pairs = check(spark, rows)
+    assert pairs >= 2 * 8
+    # However few classes a bucket may hold before it counts as crowded.
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_copies(docs, dense=0).collect()} == want
+
+
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(3, one, {"k": 1}), (5, one, {"k": 2}), (5, two, {"k": 3}), (8, three, {"k": 4}), (8, two + " more", {"k": 5}), (8, three, {"k": 4}), (None, one, None), (-7, three + " x", {})], "doc_id long, text string, extra map<string,int>")
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.one_of_each(docs).collect()), key=repr)
+    assert got == sorted([(3, one), (5, two), (-7, three + " x"), (None, one)], key=repr)
+    docs = spark.createDataFrame([(8, three), (8, two)], "doc_id long, text string")
+    assert neardup.one_of_each(docs).count() == 2
+    docs = spark.createDataFrame([(8, three), (8, three), (-(2**63), two), (2**63 - 1, two)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardup.one_of_each(docs).collect()) == [-(2**63), 8]
