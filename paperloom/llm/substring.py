@@ -39,7 +39,6 @@ WINDOW = 13
 BATCHES = 3
 #: Most buckets of the index; Spark refuses tables of more than spark.sql.sources.bucketing.maxBuckets, 100,000 by default.
 MAX_BUCKETS = 65_536
-_LAST = (1 << 63) - 1
 _rng = np.random.default_rng(13)
 _KEYS, _CHECKS = (_rng.integers(0, 1 << 63, WINDOW, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -69,32 +68,54 @@ def fingerprints(n_buckets: int):
 
     def of_block(group: pa.Table) -> pa.Table:
         group = group.sort_by("_id")
-        ids, block = group.column("_id").to_numpy(), group.column("_block")[0].as_py()
+        (levels, ids), block = _owners(group.column("_id")), group.column("_block")[0].as_py()
         keys, checks, owners = [], [], []
         for at, texts in slices(group.column("_text")):
             key, check, _, who, _ = windows(texts)
             keys.append(key)
             checks.append(check)
-            owners.append(ids[at + who])
-        key, check, own = map(np.concatenate, (keys, checks, owners))
+            owners.append(at + who)
+        key, check, who = map(np.concatenate, (keys, checks, owners))
         order = np.argsort(key, kind="stable")  # the smallest doc_id of a key comes first
-        key, check, own = key[order], check[order], own[order]
+        key, check, level, own = key[order], check[order], levels[who[order]], ids[who[order]]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         at = np.flatnonzero(new)
         # The last of a key differs from its first if a second document of the block has it.
         last = np.append(at[1:], len(key)) - 1 if len(at) else at
-        several = own[last] != own[at]
-        key, check, own = key[at], check[at], own[at]
-        rows = [(block, planes(key[a:b]), planes(check[a:b]), planes(_tagged(own[a:b], several[a:b])), "new", bucket) for bucket, a, b in bounds(key, n_buckets)]
+        several = (own[last] != own[at]) | (level[last] != level[at])
+        key, check, level, own = key[at], check[at], level[at], own[at]
+        rows = [(block, planes(key[a:b]), planes(check[a:b]), _packed(level[a:b], own[a:b], several[a:b]), "new", bucket) for bucket, a, b in bounds(key, n_buckets)]
         return _rows(rows)
 
     return of_block
 
 
-def _tagged(own: np.ndarray, several: np.ndarray) -> np.ndarray:
-    """doc_id doubled plus a mark, as unsigned 64 bits; the largest id stands for null."""
-    return (own.astype(np.uint64) << np.uint64(1)) | several.astype(np.uint64)
+#: What a document's place among all is led by: windows of earlier batches, a doc_id, none.
+HISTORY, DOCUMENT, NOBODY = 0, 1, 2
+_SIGN = np.uint64(1 << 63)
+
+
+def _owners(ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Level and unsigned id of each doc_id, which compare as the documents do."""
+    level = np.where(ids.is_null().to_numpy(), NOBODY, DOCUMENT).astype(np.uint8)
+    return level, ids.fill_null(0).to_numpy().view(np.uint64) ^ _SIGN
+
+
+def _smaller(level: np.ndarray, own: np.ndarray, than_level: np.ndarray, than: np.ndarray) -> np.ndarray:
+    return (level < than_level) | ((level == than_level) & (own < than))
+
+
+def _packed(level: np.ndarray, own: np.ndarray, mark: np.ndarray | int = 0) -> bytes:
+    """Ids in planes, then a byte for each with level and mark."""
+    return planes(own) + (level * 2 + mark).astype(np.uint8).tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels, ids and marks."""
+    n = len(raw) // 9
+    flags = np.frombuffer(raw, np.uint8, n, 8 * n)
+    return flags >> 1, unplanes(raw[: 8 * n], "<u8"), (flags & 1).astype(bool)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -138,24 +159,23 @@ def merge():
         parts = [unplanes(x.as_py(), "<u8") for x in new.column("keys")]
         if parts:
             keys, checks = np.concatenate(parts), np.concatenate([unplanes(x.as_py(), "<u2") for x in new.column("checks")])
-            tagged = np.concatenate([unplanes(x.as_py(), "<u8") for x in new.column("owners")])
-            own, several = (tagged >> np.uint64(1)).astype(np.int64), (tagged & np.uint64(1)).astype(bool)
+            level, own, several = map(np.concatenate, zip(*(_unpacked(x.as_py()) for x in new.column("owners"))))
             source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            order = np.lexsort((own, checks, keys))
-            keys, checks, own, several, source = keys[order], checks[order], own[order], several[order], source[order]
+            order = np.lexsort((own, level, checks, keys))
+            keys, checks, level, own, several, source = (x[order] for x in (keys, checks, level, own, several, source))
             first = np.ones(len(keys), bool)
             first[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
             group = np.cumsum(first) - 1
             at = np.flatnonzero(first)
             known = _known(keys[at], checks[at], run_key, run_check)
-            owner = np.where(known, -_LAST, own[at])[group]
-            asked = (owner < own) | several
+            owner_level, owner = np.where(known, HISTORY, level[at]).astype(np.uint8)[group], own[at][group]
+            asked = _smaller(owner_level, owner, level, own) | several
             hit_order = np.argsort(source[asked], kind="stable")
-            h, c, o, s = (x[asked][hit_order] for x in (keys, checks, owner, source))
+            h, c, v, o, s = (x[asked][hit_order] for x in (keys, checks, owner_level, owner, source))
             cuts = np.searchsorted(s, np.arange(len(parts) + 1))
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
-                    out.append((blocks[i], planes(h[a:b]), planes(c[a:b]), planes(o[a:b]), "hit", bucket))
+                    out.append((blocks[i], planes(h[a:b]), planes(c[a:b]), _packed(v[a:b], o[a:b]), "hit", bucket))
             fresh_key, fresh_check = keys[at][~known], checks[at][~known]
         else:
             fresh_key, fresh_check = np.zeros(0, np.uint64), np.zeros(0, np.uint16)
@@ -248,12 +268,12 @@ def remove(carried: list[str], schema: pa.Schema):
     """Of a block: its texts without the words that the answers cover."""
 
     def of_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = docs.column("_id").to_numpy()
+        levels, ids = _owners(docs.column("_id"))
         keys = np.concatenate([np.zeros(0, np.uint64), *(unplanes(x.as_py(), "<u8") for x in answers.column("keys"))])
         checks = np.concatenate([np.zeros(0, np.uint16), *(unplanes(x.as_py(), "<u2") for x in answers.column("checks"))])
-        owners = np.concatenate([np.zeros(0, np.int64), *(unplanes(x.as_py(), "<i8") for x in answers.column("owners"))])
+        owner_levels, owners, _ = map(np.concatenate, zip(_unpacked(b""), *(_unpacked(x.as_py()) for x in answers.column("owners"))))
         order = np.lexsort((checks, keys))
-        keys, checks, owners = keys[order], checks[order], owners[order]
+        keys, checks, owner_levels, owners = keys[order], checks[order], owner_levels[order], owners[order]
         n_words, n_removed, kept = [], [], []
         for at, texts in slices(docs.column("_text")):
             key, check, first, who, owner = windows(texts) if len(keys) else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
@@ -263,7 +283,7 @@ def remove(carried: list[str], schema: pa.Schema):
             while len(live):
                 live = live[keys[found[live]] == key[live]]
                 same = live[checks[found[live]] == check[live]]
-                hit[same] = owners[found[same]] < ids[at + who[same]]
+                hit[same] = _smaller(owner_levels[found[same]], owners[found[same]], levels[at + who[same]], ids[at + who[same]])
                 live = live[checks[found[live]] != check[live]]
                 found[live] += 1
                 live = live[found[live] < len(keys)]
@@ -291,12 +311,12 @@ def dedup(docs: DataFrame, carry: list[str] | None = None, batches: int = BATCHE
     """The ``carry`` columns (doc_id) of every row with ``_n_words``, ``_n_removed`` and ``_kept``, the words left joined by one space."""
     spark, carry = docs.sparkSession, carry or ["doc_id"]
     n = number_of_blocks(docs)
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    ids = F.col("doc_id").cast("long")
     cuts = docs.agg(F.approx_percentile("doc_id", [i / batches for i in range(1, batches)] or [0.5])).first()[0] or []
     cuts = sorted({int(c) for c in cuts}) if batches > 1 else []
     turn: Column = F.lit(0)
     for c in cuts:
-        turn = turn + F.when(ids > c, 1).otherwise(0)
+        turn = turn + F.when(ids.isNull() | (ids > c), 1).otherwise(0)
     # What is carried travels in one column, so that no name can clash.
     rows = docs.select(F.struct(*carry).alias("_row"), ids.alias("_id"), F.col("text").alias("_text"), turn.alias("_turn"))
     # Rows of one doc_id, or of none, are dealt over the blocks by their text.

@@ -12,7 +12,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def brute(rows, size=13):
     first = {}
     docs = [(i, d, WORD.findall(t or "")) for i, (d, t) in enumerate(rows)]
-    rank = lambda d: (1 << 63) - 1 if d is None else d
+    rank = lambda d: 1 << 63 if d is None else d
     for _, d, w in docs:
         for i in range(len(w) - size + 1):
             g = tuple(w[i : i + size])
@@ -45,11 +45,28 @@ def test_index_keeps_history_between_batches(spark):
 
     text = " ".join(f"a{i}" for i in range(30))
     index = substring.FingerprintIndex(spark, 4)
-    for turn in range(4):
-        index.add(spark.createDataFrame([(turn, 100 - turn, text)], "_block long, _id long, _text string"))
-        assert [level for level, _, _ in index.runs] == [[0], [1], [1, 0], [2]][turn]
-    asked = index.answers().groupBy("_block").agg(F.count(F.lit(1)).alias("n"))
-    assert {r["_block"] for r in asked.collect()} == {1, 2, 3}
+    try:
+        for turn in range(4):
+            index.add(spark.createDataFrame([(turn, 100 - turn, text)], "_block long, _id long, _text string"))
+            assert [level for level, _, _ in index.runs] == [[0], [1], [1, 0], [2]][turn]
+        asked = index.answers().groupBy("_block").agg(F.count(F.lit(1)).alias("n"))
+        assert {r["_block"] for r in asked.collect()} == {1, 2, 3}
+    finally:
+        index.drop_runs()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 3])
+def test_doc_ids_of_any_sign_and_size(spark, batches):
+    text = " ".join(f"n{i}" for i in range(20))
+    ids = [*range(-9, 0), -(2**63), 2**63 - 1, -5, 7, None, None]
+    rows = [(i, text) for i in ids] + [(2**63 - 1, "x " + text), (-3, text + " " + text)]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches)
+    got = sorted((tuple(r) for r in got.select("doc_id", "_n_words", "_n_removed", "_kept").collect()), key=repr)
+    assert got == brute(rows)
+    # None is not the largest number.
+    rows = [(2**63 - 1, text), (None, text)]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches)
+    assert sorted(((r["doc_id"], r["_n_removed"]) for r in got.collect()), key=repr) == sorted([(2**63 - 1, 0), (None, 20)], key=repr)
 
 
 def test_empty_table(spark):
