@@ -93,10 +93,10 @@ class Spark:
     def pick(self, arr: str, i: str) -> str:
         return f"element_at({arr}, cast({i} as int))"
 
-    def gather(self, item: str, *order: str) -> str:
-        """Items of a group in order."""
+    def gather(self, item: str, *order: str, where: str = "true") -> str:
+        """Items of a group in order; ``where`` bounds how many."""
         keys = ", ".join(f"{o} as o{i}" for i, o in enumerate(order))
-        return f"transform(array_sort(collect_list(struct({keys}, {item} as v))), x -> x.v)"
+        return f"transform(array_sort(collect_list(struct({keys}, {item} as v)) FILTER (WHERE {where})), x -> x.v)"
 
     def least_by(self, item: str, order: str) -> str:
         return f"min_by({item}, {order})"
@@ -198,8 +198,8 @@ class Duck(Spark):
     def pick(self, arr: str, i: str) -> str:
         return f"({arr})[{i}]"
 
-    def gather(self, item: str, *order: str) -> str:
-        return f"list({item} ORDER BY {', '.join(order)}, {item})"
+    def gather(self, item: str, *order: str, where: str = "true") -> str:
+        return f"list({item} ORDER BY {', '.join(order)}, {item}) FILTER (WHERE {where})"
 
     def least_by(self, item: str, order: str) -> str:
         return f"arg_min({item}, {order})"

@@ -179,7 +179,8 @@ def topic_agg(d: Spark) -> str:
     levels = "CASE tag " + " ".join(f"WHEN {d.text(t)} THEN '{x}'" for t, x in R.TOPIC_LEVELS.items()) + " ELSE 'L2' END"
     needs = "CASE tag " + " ".join(f"WHEN {d.text(t)} THEN {d.text('|'.join(x))}" for t, x in R.PREREQUISITES.items()) + " ELSE '' END"
     return f"""{chain(d, 'topics')}
-    SELECT tag, {T.topic_slug(d, 'tag')} AS topic_id, count(*) AS n, {levels} AS level, {needs} AS prerequisites, {topic_keywords(d)} AS keywords, {_flat(d, d.slice(d.gather('id', '-paper_score', 'pos'), 10))} AS first_ids FROM topics GROUP BY tag"""
+    SELECT tag, {T.topic_slug(d, 'tag')} AS topic_id, count(*) AS n, {levels} AS level, {needs} AS prerequisites, {topic_keywords(d)} AS keywords, {_flat(d, d.gather('id', '-paper_score', 'pos', where='place <= 10'))} AS first_ids
+    FROM (SELECT tag, id, paper_score, pos, row_number() OVER (PARTITION BY tag ORDER BY paper_score DESC, pos, id) AS place FROM topics) placed GROUP BY tag"""
 
 
 def _pack(levels: str, score: str) -> Query:
@@ -201,8 +202,12 @@ def topic_related(d: Spark) -> str:
 
 @query
 def topic_gap_summary(d: Spark) -> str:
-    n = d.count_if(d.like("abstract", R.EXPLICIT_GAP))
-    return f"{chain(d, 'topics')}\nSELECT tag, CAST({n} AS bigint) AS n_open, CASE WHEN {n} > 0 THEN concat(CAST({n} AS string), ' papers state open problems in ', tag, '.') ELSE concat('No explicit gaps found in ', tag, '.') END AS summary FROM topics GROUP BY tag"
+    """Papers of a tag with limitations and with future work, read from their sentences."""
+    said = {n: d.size(d.filter("sentences", f"x LIKE {d.text(f'%{w}%')}")) for n, w in (("limitations", "limitation"), ("future_work", "uture work"))}
+    lim, fut = (d.count_if(f"{x} > 0") for x in said.values())
+    return f"""{chain(d, 'topics')}, split AS (SELECT tag, {d.sentences('abstract')} AS sentences FROM topics), counted AS (SELECT tag, CAST({lim} AS bigint) AS n_limitations, CAST({fut} AS bigint) AS n_future_work FROM split GROUP BY tag)
+    SELECT tag, n_limitations, n_future_work, CASE WHEN n_limitations = 0 AND n_future_work = 0 THEN concat('No explicit gaps extracted yet for ', tag, '.')
+      ELSE concat(CAST(n_limitations AS string), ' papers in ', tag, ' report explicit limitations; ', CAST(n_future_work AS string), ' describe future work directions.') END AS summary FROM counted"""
 
 
 # --- gaps ---
@@ -435,8 +440,6 @@ def draft_quality(d: Spark) -> str:
 QUERIES["upsert_latest"] = lambda d: f"SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {d.table('events')}) t WHERE rn = 1"
 QUERIES["upsert_first"] = lambda d: f"SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {d.table('events')}) t WHERE rn = 1"
 QUERIES["json_props"] = lambda d: f"SELECT event_type, CAST({d.json('props', 'k')} AS bigint) AS k, count(*) AS n FROM {d.table('events')} GROUP BY event_type, CAST({d.json('props', 'k')} AS bigint)"
-QUERIES["library_join"] = lambda d: f"SELECT user_id, event_id, o_orderkey, o_orderstatus FROM {d.table('events')} e JOIN {d.table('orders')} o ON e.event_id = o.o_orderkey WHERE event_type = 'click'"
-QUERIES["library_toggle"] = lambda d: f"SELECT user_id, count(*) % 2 = 1 AS kept FROM {d.table('events')} GROUP BY user_id"
 QUERIES["mode_per_group"] = lambda d: f"SELECT c_nationkey, c_mktsegment FROM (SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS rn FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM {d.table('customer')} GROUP BY c_nationkey, c_mktsegment) c) t WHERE rn = 1"
 QUERIES["semi_join"] = lambda d: f"SELECT c_custkey, c_name FROM {d.table('customer')} WHERE EXISTS (SELECT 1 FROM {d.table('orders')} WHERE o_custkey = c_custkey AND o_totalprice > 300000)"
 QUERIES["anti_join"] = lambda d: f"SELECT c_custkey, c_name FROM {d.table('customer')} WHERE NOT EXISTS (SELECT 1 FROM {d.table('orders')} WHERE o_custkey = c_custkey)"

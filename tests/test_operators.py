@@ -109,6 +109,30 @@ def test_library_toggle_and_order(spark):
     assert [r["title"] for r in found] == ["Two"]
 
 
+def test_replayed_actions_equal_one_after_the_other(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), rng.choice(["p1", " p2", "p3", "p4", " ", None]), rng.choice(["add", "remove", "toggle", "look"]), i) for i in range(400)]
+    want = {}
+    for user, paper, action, _ in rows:
+        held = want.setdefault(user, [])
+        paper = (paper or "").strip()
+        if not paper or action == "look":
+            continue
+        there = paper in held
+        if there and action in ("remove", "toggle"):
+            held.remove(paper)
+        elif not there and action in ("add", "toggle"):
+            held.append(paper)
+    rng.shuffle(rows)
+    got = {u: [] for u in want}
+    for r in library.replay(spark.createDataFrame(rows, "user_id int, paper_id string, action string, at int")).orderBy("user_id", "seq").collect():
+        got[r["user_id"]].append(r["paper_id"])
+    assert got == want
+    assert library.replay(spark.createDataFrame([], "user_id int, paper_id string, action string, at int")).count() == 0
+
+
 def test_browse_pages(spark):
     rows = papers.score(papers.assess(papers.tag(frame(spark, *[{"id": f"p{i}", "title": f"Learning {i}", "year": 2020 + i % 5} for i in range(12)]))), 2026)
     page = papers.browse(rows, search="learn", page=2, page_size=5)
