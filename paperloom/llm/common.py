@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -29,8 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; where none is named, one in the warehouse, or a temporary one in local mode."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        local = spark.sparkContext.master.startswith("local")
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)
         found = "file://" + tempfile.mkdtemp(prefix="paperloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/paperloom-staged"
+        if not local and re.match(r"file:|/", found):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
