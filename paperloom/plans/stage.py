@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         # One machine alone may use its own disk; a cluster shares its warehouse.
-        local = spark.sparkContext.master.startswith("local")
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)
         folder = "file://" + tempfile.mkdtemp(prefix="paperloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/paperloom-staged"
+        if not local and re.match(r"file:|/", folder):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/paperloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
