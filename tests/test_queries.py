@@ -9,7 +9,7 @@ from paperloom import queries as library
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ["documents", "events", "customer", "orders", "nation", "pages"]
-SOME = ["papers_view", "tag_supersede", "difficulty", "paper_score", "content_tweet", "topic_agg", "topic_starter_pack", "gap_union_dedup", "author_agg", "author_momentum", "lab_momentum", "stats_by_dimension", "browse_filter_page", "potd", "dedup_exact_best", "dedup_title_pairs", "tfidf_profile", "graph_topic_topic", "upsert_latest", "anti_join", "venue_status", "recommend_venues", "html_parse", "event_windows"]
+SOME = ["papers_view", "tag_supersede", "difficulty", "paper_score", "content_tweet", "topic_agg", "topic_starter_pack", "gap_union_dedup", "author_agg", "author_momentum", "lab_momentum", "stats_by_dimension", "browse_filter_page", "potd", "dedup_exact_best", "dedup_title_pairs", "dedup_papers", "library_toggle", "tfidf_profile", "graph_topic_topic", "upsert_latest", "anti_join", "venue_status", "recommend_venues", "html_parse", "event_windows"]
 
 
 @pytest.fixture(scope="module")
@@ -37,8 +37,7 @@ def test_equals_duckdb(spark, duck, name):
 
 
 def test_every_query_has_its_sql():
-    # The greedy edge cap depends on all edges before; tests/test_graph.py holds it against a plain version.
-    assert set(library.queries()) - set(library.oracle_sql()) == {"graph_edge_limit"}
+    assert set(library.queries()) == set(library.oracle_sql())
 
 
 def test_entry_imports_and_lists():
