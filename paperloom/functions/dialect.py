@@ -14,9 +14,9 @@ def quoted(text: str) -> str:
 class Spark:
     name = "spark"
 
-    def __init__(self, folder: str = "", relation: str = "", spread: int = 0) -> None:
-        """``relation``: a view of papers to use in place of the one derived from documents; ``spread``: partitions that few large pieces of documents are dealt into, 0 for none."""
-        self.folder, self.relation, self.spread = folder, relation, spread
+    def __init__(self, folder: str = "", relation: str = "", spread: int = 0, scored: str = "") -> None:
+        """``relation``: a view of papers to use in place of the one derived from documents; ``spread``: partitions that few large pieces of documents are dealt into, 0 for none; ``scored``: a view of papers that the rules have been applied to."""
+        self.folder, self.relation, self.spread, self.scored = folder, relation, spread, scored
 
     def table(self, name: str) -> str:
         return f"parquet.`{self.folder}/{name}.parquet`"

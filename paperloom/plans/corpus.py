@@ -42,8 +42,11 @@ def chain(d: Spark, upto: str = "content") -> str:
       {S.clamped('0.25e0 * surprise + 0.25e0 * practical_value + 0.2e0 * explainability + 0.2e0 * broad_relevance + 0.1e0 * topic_centrality')} AS content_score FROM prestiged"""))
     steps.append(("topics", f"SELECT *, {d.explode('tags')} AS tag FROM scored"))
     steps.append(("content", f"SELECT *, {d.sentences('abstract')} AS sentences FROM scored"))
+    if d.scored and upto in ("scored", "topics", "content"):
+        # The rules have run: papers and all that follows are read from what they left.
+        steps = [("scored", f"SELECT *, {S.folded(d, S.TEXT)} AS txt FROM {d.scored}"), ("papers", "SELECT * FROM scored"), *steps[-2:]]
     names = [n for n, _ in steps]
-    stop = names.index(upto) + 1
+    stop = max(names.index(upto), names.index("papers")) + 1
     if upto == "content":
         steps = [s for s in steps if s[0] != "topics"]
         stop = len(steps)

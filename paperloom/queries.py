@@ -10,11 +10,18 @@ from .functions.dialect import DUCK, Spark
 from .plans import dedup, graph, library
 from .plans import venues as _venues  # noqa: F401  registers its queries
 from .plans.corpus import QUERIES as _SQL
+from .plans.scored import scored
 from .sources.corpus import corpus
 from .streaming.events import windowed_counts
 
 
-def _runner(make: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
+#: Queries whose relations are read more than once: the rules run first, into a table.
+STAGED = {"tfidf_profile", "recommend_venues", "similar_papers", "gap_union_dedup", "gap_browse", "editorial_gap", "browse_filter_page", "graph_inputs"}
+
+
+def _runner(name: str, make: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
+    if name in STAGED:
+        return lambda spark, sf_dir: spark.sql(make(scored(spark, sf_dir)))
     return lambda spark, sf_dir: spark.sql(make(corpus(spark, sf_dir)))
 
 
@@ -27,7 +34,7 @@ _EVENT_WINDOWS = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) A
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = graph.QUERIES | dedup.QUERIES | library.QUERIES | {"event_windows": _event_windows}
-    return {name: _runner(make) for name, make in _SQL.items()} | own
+    return {name: _runner(name, make) for name, make in _SQL.items()} | own
 
 
 def oracle_sql() -> dict[str, str]:
