@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialect import DUCK, Spark
-from .plans import dedup, graph, library, recommend
+from .plans import dedup, graph, library, recommend, records
 from .plans import venues as _venues  # noqa: F401  registers its queries
 from .plans.corpus import QUERIES as _SQL
 from .plans.scored import scored
@@ -33,9 +33,9 @@ _EVENT_WINDOWS = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) A
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = graph.QUERIES | dedup.QUERIES | library.QUERIES | recommend.QUERIES | {"event_windows": _event_windows}
+    own = graph.QUERIES | dedup.QUERIES | library.QUERIES | recommend.QUERIES | records.QUERIES | {"event_windows": _event_windows}
     return {name: _runner(name, make) for name, make in _SQL.items()} | own
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: make(DUCK) for name, make in _SQL.items()} | graph.ORACLE_SQL | dedup.ORACLE_SQL | library.ORACLE_SQL | recommend.ORACLE_SQL | {"event_windows": _EVENT_WINDOWS}
+    return {name: make(DUCK) for name, make in _SQL.items()} | graph.ORACLE_SQL | dedup.ORACLE_SQL | library.ORACLE_SQL | recommend.ORACLE_SQL | records.ORACLE_SQL | {"event_windows": _EVENT_WINDOWS}
