@@ -9,7 +9,7 @@ from paperloom import queries as library
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ["documents", "events", "customer", "orders", "nation", "pages"]
-SOME = ["papers_view", "tag_supersede", "difficulty", "paper_score", "content_tweet", "topic_agg", "topic_starter_pack", "gap_union_dedup", "author_agg", "author_momentum", "lab_momentum", "stats_by_dimension", "browse_filter_page", "potd", "dedup_exact_best", "dedup_title_pairs", "dedup_papers", "library_toggle", "tfidf_profile", "graph_topic_topic", "upsert_latest", "anti_join", "venue_status", "recommend_venues", "venue_keywords", "venue_fits", "decode_papers", "embedded_venues", "similar_papers", "gap_browse", "graph_inputs", "html_parse", "event_windows"]
+SOME = ["papers_view", "tag_supersede", "difficulty", "paper_score", "content_tweet", "topic_agg", "topic_starter_pack", "gap_union_dedup", "author_agg", "author_momentum", "lab_momentum", "stats_by_dimension", "browse_filter_page", "potd", "dedup_exact_best", "dedup_title_pairs", "dedup_papers", "library_toggle", "tfidf_profile", "graph_topic_topic", "upsert_latest", "anti_join", "venue_status", "recommend_venues", "venue_keywords", "venue_fits", "venue_index", "decode_papers", "embedded_venues", "similar_papers", "gap_browse", "graph_inputs", "html_parse", "event_windows"]
 
 
 @pytest.fixture(scope="module")
