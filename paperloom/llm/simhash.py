@@ -5,7 +5,8 @@ in at most two bits, then by the pigeonring principle some segment starts a chai
 whose cumulative differences stay within the proportional budgets 2/3, 4/3 and 2:
 it agrees wholly, together with its successor in all but one bit, and with the
 last in all but two.  So the first two segments of a chain, with at most one flip
-in the second, are the join key; the full Hamming check follows.
+in the second, are the join key; the full Hamming check follows.  For another
+limit the ring has one segment more than bits may differ; the key is the same.
 
 Fingerprints are compared once each, not once for each document.  Where a key is
 shared by more than DENSE fingerprints, the fingerprints it meets are linked
@@ -34,8 +35,6 @@ from .graph import components
 SHINGLE = 3
 SEED = 42
 LIMIT = 2
-#: Widths of the ring's segments, from the lowest bit.
-SEGMENTS = (21, 21, 22)
 #: Fingerprints of one key that are still compared pairwise.
 DENSE = 24
 
@@ -54,7 +53,11 @@ def fingerprint(text: str | None) -> int:
         hashes = [digest(b" ".join(words), SEED)]
     else:
         hashes = [digest(b" ".join(x), SEED) for x in zip(*[words[i:] for i in range(SHINGLE)])]
-    found = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(found: np.ndarray) -> int:
+    """The fingerprint of a text's hashes, as a signed 64-bit integer; zero of none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(found), 65_536):
         ones += np.unpackbits(found[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -76,20 +79,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _ring() -> list[tuple[int, int, list[int]]]:
+def _ring(limit: int) -> list[tuple[int, int, list[int]]]:
     """Of each chain: its number, the mask of its first two segments, the flips of the second."""
-    starts = [sum(SEGMENTS[:i]) for i in range(len(SEGMENTS))]
-    masks = [((1 << w) - 1) << s for w, s in zip(SEGMENTS, starts)]
+    starts = [64 * i // (limit + 1) for i in range(limit + 1)]
+    widths = [b - a for a, b in zip(starts, [*starts[1:], 64])]
+    masks = [((1 << w) - 1) << s for w, s in zip(widths, starts)]
     out = []
-    for r in range(len(SEGMENTS)):
-        nxt = (r + 1) % len(SEGMENTS)
-        flips = [0, *(1 << (starts[nxt] + b) for b in range(SEGMENTS[nxt]))]
+    for r in range(len(starts)):
+        nxt = (r + 1) % len(starts)
+        flips = [0, *(1 << (starts[nxt] + b) for b in range(widths[nxt]))]
         out.append((r, _signed(masks[r] | masks[nxt]), [_signed(f) for f in flips]))
     return out
 
 
-def _keys(fps: DataFrame, name: str, probing: bool) -> DataFrame:
-    chains = [F.struct(F.lit(r).cast("byte").alias("r"), F.lit(m).alias("m"), F.lit(f).alias("f")) for r, m, flips in _ring() for f in (flips if probing else [0])]
+def _keys(fps: DataFrame, name: str, probing: bool, limit: int) -> DataFrame:
+    chains = [F.struct(F.lit(r).cast("byte").alias("r"), F.lit(m).alias("m"), F.lit(f).alias("f")) for r, m, flips in _ring(limit) for f in (flips if probing else [0])]
     rows = fps.select(F.col("fp").alias(name), F.explode(F.array(*chains)).alias("c"))
     return rows.select(name, F.col("c.r").alias("r"), F.col(name).bitwiseXOR(F.col("c.f")).bitwiseAND(F.col("c.m")).alias("key"))
 
@@ -98,14 +102,14 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
-    """Edges ``u, v`` that connect the distinct ``fp`` within LIMIT bits of each other."""
+def links(fps: DataFrame, dense: int = DENSE, limit: int = LIMIT) -> DataFrame:
+    """Edges ``u, v`` that connect the distinct ``fp`` within ``limit`` bits of each other; those of crowded keys, within two."""
     # Spark judges an exploded side by the size of what it comes from; these joins must not become broadcasts.
-    index, probes = _keys(fps, "b", probing=False).hint("merge"), _keys(fps, "a", probing=True)
+    index, probes = _keys(fps, "b", probing=False, limit=limit).hint("merge"), _keys(fps, "a", probing=True, limit=limit)
     hot = index.groupBy("r", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("r", "key")
     hot, _ = staged(hot, "dense_keys")
     n_hot = hot.count()
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LIMIT
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit
     if not n_hot:
         pairs = probes.join(index, ["r", "key"]).where(F.col("a") < F.col("b"))
         return pairs.where(near).select(F.col("b").alias("u"), F.col("a").alias("v")).distinct()

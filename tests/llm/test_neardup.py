@@ -94,3 +94,24 @@ def test_rows_of_one_doc_id_are_told_apart(spark):
     assert neardup.one_of_each(docs).count() == 2
     docs = spark.createDataFrame([(8, three), (8, three), (-(2**63), two), (2**63 - 1, two)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in neardup.one_of_each(docs).collect()) == [-(2**63), 8]
+
+
+def test_no_pair_is_left_to_chance(spark):
+    """Eight of ten shingles in common; the MinHash bands that gave the candidates before share none for these words."""
+    words = [f"m2838x{i}" for i in range(13)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:12], "tail"])), (3, "seven words that are in no other")]
+    assert set(check(spark, rows)[1].values()) == {1, 3}
+
+
+def test_fingerprints_meet_by_pigeonring(spark):
+    """Chains for more bits than op4's two, against all pairs."""
+    rng = random.Random(5)
+    values = {rng.getrandbits(64) for _ in range(30)}
+    for v in list(values):
+        for n in range(1, 6):
+            values.add(v ^ sum(1 << b for b in rng.sample(range(64), n)))
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    for limit in (2, 3, 5):
+        got = {tuple(sorted((r["u"], r["v"]))) for r in simhash.links(fps, limit=limit).collect()}
+        assert got == {(a, b) for a, b in combinations(values, 2) if ((a ^ b) % (1 << 64)).bit_count() <= limit}
