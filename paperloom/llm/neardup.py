@@ -142,10 +142,12 @@ def _rooted(shared: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, str]
         rows = shared.withColumn("root", F.col("fp"))
     else:
         rows = shared.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # Dealt once, for the groupings and the join alike: a component's row with its classes is several times as wide.
+    rows = rows.repartition("mark")
     # Of a large group the least edited texts are near to most others; they have the fewest shingles of their own.
-    first = [F.min(F.struct((F.col("s") * (j % 2 - 1)).alias("p"), F.xxhash64("fp", F.lit(j)).alias("o"), "fp", "n")).alias(f"r{j}") for j in range(REPS)]
+    first = [F.min(F.struct((F.col("s") * (j % 2 - 1)).alias("p"), F.xxhash64("fp", F.lit(j)).alias("o"), "fp", "n", "i")).alias(f"r{j}") for j in range(REPS)]
     comps = rows.groupBy("mark", "root").agg(F.count(F.lit(1)).alias("c"), *first)
-    comps = comps.select("mark", "root", "c", F.array_distinct(F.array(*[F.struct(f"r{j}.fp", f"r{j}.n") for j in range(REPS)])).alias("r"))
+    comps = comps.select("mark", "root", "c", F.array_distinct(F.array(*[F.struct(f"r{j}.fp", f"r{j}.n", f"r{j}.i") for j in range(REPS)])).alias("r"))
     hubs = comps.groupBy("mark").agg(F.max_by(F.struct("root", "r"), F.struct("c", "root")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
     return staged(rows.join(hubs.select("mark", F.col("hub.root").alias("hub"), "hub.r").hint("merge"), "mark"), "rooted")
 
@@ -162,21 +164,38 @@ def _alike(signed: DataFrame, dense: int) -> DataFrame:
     return met.unionByName(same.drop("sim")).where(FIT).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v"))
 
 
-def _judged(pairs: DataFrame, found: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Those of the candidates ``u, v`` that are similar enough; and the tables they are read from."""
-    pairs, pairs_path = staged(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+def _judged(pairs: DataFrame, found: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, str, DataFrame, str]:
+    """Those of the candidates ``u, v`` but for those ``tried`` before that are similar enough, all that were judged, and both tables' paths.
+
+    Wide tables and the shuffles on the way are gone when it returns.
+    """
+    spark = pairs.sparkSession
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs, pairs_path = staged(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "candidates")
+    wanted, wanted_path = staged(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "wanted")
+    release(spark)
+    # Few classes are told by broadcast, so that only their shingles are shuffled.
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge")
     marks = found.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("marks").alias("marks"))
     marks, marks_path = staged(marks, "marks")
+    release(spark)
     judged = pairs.join(marks.select(F.col("fp").alias("u"), F.col("marks").alias("mu")).hint("merge"), "u")
     judged = judged.join(marks.select(F.col("fp").alias("v"), F.col("marks").alias("mv")).hint("merge"), "v")
-    return judged.where("9 * size(array_intersect(mu, mv)) >= 4 * (size(mu) + size(mv))").select("u", "v"), [pairs_path, marks_path]
+    links, path = staged(judged.where("9 * size(array_intersect(mu, mv)) >= 4 * (size(mu) + size(mv))").select("u", "v"), "links")
+    for x in (wanted_path, marks_path):
+        drop_path(spark, x)
+    release(spark)
+    return links, path, pairs, pairs_path
 
 
 def _few_met(rows: DataFrame) -> DataFrame:
-    """Candidates ``u, v``: of each shingle's classes those outside the hub with a few of it."""
-    met = rows.where("root <> hub").select(F.col("fp").alias("u"), F.col("n").alias("n_u"), F.explode("r").alias("r"))
-    return met.select("u", "n_u", F.col("r.fp").alias("v"), F.col("r.n").alias("n_v")).where(FIT).select("u", "v")
+    """Candidates ``u, v``: of each shingle's classes those outside the hub with a few of it.
+
+    A pair that first shares another shingle may be passed over here; it meets by that one, at the latest in ``_all_met``.
+    """
+    met = rows.where("root <> hub").select(*[F.col(c).alias(f"{c}_u") for c in ("fp", "n", "i")], F.explode("r").alias("r"))
+    met = met.select("*", *[F.col(f"r.{c}").alias(f"{c}_v") for c in ("fp", "n", "i")]).where(REACH)
+    return met.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v"))
 
 
 def _all_met(rows: DataFrame) -> DataFrame:
@@ -197,15 +216,21 @@ def near_copies(docs: DataFrame, dense: int = simhash.DENSE) -> DataFrame:
     release(spark)
     shared, shared_path = staged(_shared(signed), "shared")
     release(spark)
-    roots, left = None, [signed_path, alike_path, shared_path]
+    roots, tried, read, pair_paths = None, None, [alike_path], []
     for k in range(ROUNDS + 1):
         rows, rows_path = _rooted(shared, roots)
+        release(spark)
         met = _few_met(rows) if k < ROUNDS else _all_met(rows)
-        edges, paths = _judged(met if roots else met.unionByName(alike), signed)
+        edges, edges_path, pairs, pairs_path = _judged(met if roots else met.unionByName(alike), signed, tried)
+        tried = tried.unionByName(pairs) if tried else pairs
+        pair_paths.append(pairs_path)
         # A component of the rounds before is its star.
         roots, roots_path = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(edges) if roots else edges)
-        left += [rows_path, roots_path, *paths]
-    for path in left[:3] + [x for x in left[3:] if x != roots_path]:  # the last roots are read below
+        for path in [rows_path, edges_path, *read]:
+            drop_path(spark, path)
+        read = [roots_path]
+        release(spark)
+    for path in (signed_path, shared_path, *pair_paths):
         drop_path(spark, path)
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Partial minima leave one row of a component in each task.
