@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.dialect import Spark
+from .functions.told import Told, register
 from .operators.dedup import deduplicate
 from .plans import venues as _venues  # noqa: F401  registers its queries
 from .plans.corpus import QUERIES
@@ -52,7 +52,8 @@ def on(papers: DataFrame, name: str) -> DataFrame:
         rows = rows.withColumn("pos", F.monotonically_increasing_id())
     view = f"papers_{uuid.uuid4().hex}"
     rows.createOrReplaceTempView(view)
-    return papers.sparkSession.sql(QUERIES[name](Spark(relation=view)))
+    register(papers.sparkSession)
+    return papers.sparkSession.sql(QUERIES[name](Told(relation=view)))
 
 
 def run(batches: list[DataFrame], dedup: bool = True) -> dict[str, DataFrame]:

@@ -6,18 +6,18 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from ..functions.dialect import Spark
+from ..functions.told import Told
 from ..sources.corpus import corpus
 from .corpus import chain
 from .stage import staged
 
 #: Scratch of the rules that no later relation reads.
-INNER = ("txt", "hit_tags", "kept_tags")
+INNER = ("hit_tags", "kept_tags")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> Spark:
-    """The dialect over a folder, with the relation ``scored`` in a table of the shared folder."""
-    rows = spark.sql(f"{chain(corpus(spark, sf_dir), 'scored')} SELECT * FROM scored").drop(*INNER)
+def scored(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> Told:
+    """The dialect over a folder, with the relation ``scored``, or the named columns of it, in a table of the shared folder."""
+    rows = spark.sql(f"{chain(corpus(spark, sf_dir), 'scored')} SELECT {', '.join(columns or ['*'])} FROM scored").drop(*INNER)
     view = f"scored_{uuid.uuid4().hex}"
     staged(rows, "scored").createOrReplaceTempView(view)
-    return Spark(sf_dir, scored=view)
+    return Told(sf_dir, scored=view)

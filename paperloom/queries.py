@@ -15,13 +15,23 @@ from .sources.corpus import corpus
 from .streaming.events import windowed_counts
 
 
-#: Queries whose relations are read more than once: the rules run first, into a table.
-STAGED = {"tfidf_profile", "recommend_venues", "similar_papers", "gap_union_dedup", "gap_browse", "editorial_gap", "browse_filter_page", "graph_inputs"}
+_GAPS = "*"
+_LABS = "pos year paper_score conference_rank affiliations_raw told"
+#: Queries whose relations are read more than once: the rules run first, into a table of the columns that the query reads.
+STAGED = {
+    "tfidf_profile": "*",
+    "recommend_venues": "pos venue year paper_score title abstract",
+    "similar_papers": "*",
+    "gap_union_dedup": _GAPS, "gap_browse": _GAPS, "editorial_gap": _GAPS,
+    "editorial_rising_lab": _LABS,
+    "browse_filter_page": "pos id title abstract paper_score difficulty_level",
+    "graph_inputs": "pos id title abstract year tags paper_score read_first_score",
+}
 
 
 def _runner(name: str, make: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
     if name in STAGED:
-        return lambda spark, sf_dir: spark.sql(make(scored(spark, sf_dir)))
+        return lambda spark, sf_dir: spark.sql(make(scored(spark, sf_dir, STAGED[name].split())))
     return lambda spark, sf_dir: spark.sql(make(corpus(spark, sf_dir)))
 
 
