@@ -23,7 +23,7 @@ STAGED = {
     "recommend_venues": "pos venue year paper_score title abstract",
     "similar_papers": "*",
     "gap_union_dedup": _GAPS, "gap_browse": _GAPS, "editorial_gap": _GAPS,
-    "editorial_rising_lab": _LABS,
+    "lab_momentum": _LABS, "editorial_rising_lab": _LABS,
     "browse_filter_page": "pos id title abstract paper_score difficulty_level",
     "graph_inputs": "pos id title abstract year tags paper_score read_first_score",
 }
