@@ -15,7 +15,7 @@ from .sources.corpus import corpus
 from .streaming.events import windowed_counts
 
 
-_GAPS = "*"
+_GAPS = "pos tags paper_score abstract told"
 _LABS = "pos year paper_score conference_rank affiliations_raw told"
 #: Queries whose relations are read more than once: the rules run first, into a table of the columns that the query reads.
 STAGED = {
