@@ -25,6 +25,7 @@ STAGED = {
     "gap_union_dedup": _GAPS, "gap_browse": _GAPS, "editorial_gap": _GAPS,
     "lab_momentum": _LABS, "editorial_rising_lab": _LABS,
     "cross_entity_search": "pos id title authors paper_score",
+    "topic_related": "tags",
     "browse_filter_page": "pos id title abstract paper_score difficulty_level",
     "graph_inputs": "pos id title abstract year tags paper_score read_first_score",
 }
