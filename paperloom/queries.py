@@ -19,9 +19,9 @@ _GAPS = "pos tags paper_score abstract told"
 _LABS = "pos year paper_score conference_rank affiliations_raw told"
 #: Queries whose relations are read more than once: the rules run first, into a table of the columns that the query reads.
 STAGED = {
-    "tfidf_profile": "*",
+    "tfidf_profile": "pos venue year paper_score title abstract",
     "recommend_venues": "pos venue year paper_score title abstract",
-    "similar_papers": "*",
+    "similar_papers": "pos venue year paper_score title abstract tags",
     "gap_union_dedup": _GAPS, "gap_browse": _GAPS, "editorial_gap": _GAPS,
     "lab_momentum": _LABS, "editorial_rising_lab": _LABS,
     "cross_entity_search": "pos id title authors paper_score",
