@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tokens import tokens
+from ..plans.stage import staged
 from ..rules import tables as R
 
 KEYWORDS = 85
@@ -29,6 +31,11 @@ def words(text: Column) -> Column:
     return F.filter(found, lambda w: (F.length(w) <= 32) & ~w.isin(R.STOP_WORDS))
 
 
+def text_words(text: Column) -> Column:
+    """``words`` of whole texts, cut out by columns."""
+    return tokens(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def _hints(hints: dict[str, list[str]]) -> Column:
     return F.create_map(*[x for field, terms in hints.items() for x in (F.lit(field), F.array_sort(F.array(*map(F.lit, terms))))])
 
@@ -39,7 +46,7 @@ def venue_fields(papers: DataFrame) -> DataFrame:
     ``papers``: venue, rank, text, tags.  The words of tags count beside those of texts.
     """
     own = papers.where((F.col("rank") <= FIELD_PAPERS) & F.col("venue").isNotNull())
-    said = own.select("venue", F.explode(F.concat(words(F.col("text")), words(F.array_join("tags", " ")))).alias("word"))
+    said = own.select("venue", text_words(F.col("text")).alias("ws"), words(F.array_join("tags", " ")).alias("ts")).select("venue", F.explode(F.concat("ws", "ts")).alias("word"))
     named = [(word, field, place) for place, (field, terms) in enumerate(R.VENUE_HINTS.items()) for word in terms]
     hints = papers.sparkSession.createDataFrame(named, "word string, field string, place int")
     hits = said.join(F.broadcast(hints), "word").groupBy("venue", "field", "place").agg(F.count(F.lit(1)).alias("n"))
@@ -62,7 +69,7 @@ def derived_keywords(papers: DataFrame, fields: DataFrame) -> DataFrame:
     words, or a whole tag, which counts three times; a phrase among the 45 most frequent
     goes if its length isn't 3 to 56.  The 55 words are those of texts and tags.
     """
-    base = papers.where("venue is not null").select("venue", "rank", words(F.col("text")).alias("ws"), F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: t != "").alias("ts"))
+    base = papers.where("venue is not null").select("venue", "rank", text_words(F.col("text")).alias("ws"), F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: t != "").alias("ts"))
 
     def rows(items: Column, kind: int, points: int) -> DataFrame:
         found = base.select("venue", "rank", F.posexplode(items).alias("at", "item"))
@@ -126,22 +133,23 @@ def maturity(stage: Column, rank: Column) -> Column:
     return F.when(stage == "solid", 3.0).when((stage == "mature") & top, 3.0).when((stage == "early") & top, -5.0).otherwise(0.0)
 
 
-def verdict(text: Column) -> Column:
-    """``ok``, or why a draft is not matched."""
-    n = F.size(words(text))
-    filler = F.filter(words(text), lambda w: w.isin(R.PLACEHOLDER_WORDS))
-    telling = F.filter(words(text), lambda w: ~w.isin(R.PLACEHOLDER_WORDS))
+def verdict(text: Column, said: Column | None = None) -> Column:
+    """``ok``, or why a draft is not matched.  ``said``: the words of the text, where they are known."""
+    said = words(text) if said is None else said
+    telling = _telling(said)
+    filler = F.size(said) - F.size(telling)
     plain = F.trim(F.coalesce(text, F.lit("")))
+    lorem = F.lower(plain).contains("lorem") & plain.rlike(r"(?i)\blorem\s+ipsum\b")
     return (
         F.when(F.length(plain) < 80, "too short")
-        .when(plain.rlike(r"(?i)\blorem\s+ipsum\b") | (F.size(filler) >= 0.35 * n) & (n > 0), "placeholder")
+        .when(lorem | (filler >= 0.35 * F.size(said)) & (F.size(said) > 0), "placeholder")
         .when((F.size(telling) < 35) | (F.size(F.array_distinct(telling)) < 18), "too few details")
         .otherwise("ok")
     )
 
 
-def draft_words(text: Column) -> Column:
-    return F.array_distinct(F.filter(words(text), lambda w: ~w.isin(R.PLACEHOLDER_WORDS)))
+def _telling(said: Column) -> Column:
+    return F.filter(said, lambda w: ~w.isin(R.PLACEHOLDER_WORDS))
 
 
 def draft_field(said: Column) -> Column:
@@ -160,8 +168,9 @@ def recommend(drafts: DataFrame, venues: DataFrame, profile: DataFrame) -> DataF
     A venue without a common word scores 13 at most, below what is shown, so none is lost
     by taking only those that share one.
     """
-    ready = drafts.where(verdict(F.col("text")) == "ok").withColumn("words", draft_words(F.col("text")))
+    ready = drafts.withColumn("words", text_words(F.col("text"))).where(verdict(F.col("text"), F.col("words")) == "ok").withColumn("words", F.array_distinct(_telling(F.col("words"))))
     kept = ready.select("draft", "stage", "words", F.when(F.coalesce("field", F.lit("auto")) == "auto", draft_field(F.col("words"))).otherwise(F.col("field")).alias("wanted"))
+    kept = staged(kept, "drafts")
     rows = overlaps(kept, profile).join(kept.drop("words"), "draft").join(venues.select("venue", "field", "rank"), "venue")
     field = F.when(F.col("wanted") == "any", 0.0).when(F.coalesce(F.col("wanted") == F.col("field"), F.lit(False)), FIELD_MATCH).otherwise(FIELD_OTHER)
     parts = rows.withColumns({"field_points": field, "maturity_points": maturity(F.col("stage"), F.col("rank")), "rank_points": F.when(F.col("rank") == "A*", STARRED).otherwise(0.0)})
